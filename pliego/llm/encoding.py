@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pliego.llm.common import cut_lineage
+
 #: Encodings that UTF-8 bytes are taken for.
 LEGACY = ["cp1252", "cp850", "cp437", "mac_roman", "cp1251", "cp1250", "iso8859-15"]
 #: Pairs of single-byte encodings: what the text was in, what it was read as.
@@ -81,6 +83,14 @@ def automaton(encoding: str) -> re.Pattern:
     return re.compile(f"(?:{'|'.join(paths)})+")
 
 
+PAIR = re.compile(r"[^\x00-\x7f][^\x00-\x7f]")
+
+
+@functools.cache
+def leads(encoding: str) -> frozenset[str]:
+    return frozenset(c for c, b in byte_of(encoding).items() if 0xC2 <= b <= 0xF4)
+
+
 def _decode(span: str, encoding: str) -> str:
     bytes_of = byte_of(encoding)
     try:
@@ -110,7 +120,12 @@ def decode_spans(text: str) -> tuple[str, int]:
     total = 0
     for _ in range(ROUNDS):
         before = total
+        if not PAIR.search(text):  # a sequence has at least two signs beyond ASCII
+            break
+        signs = set(text)
         for encoding in LEGACY:
+            if signs.isdisjoint(leads(encoding)):
+                continue
             n = 0
 
             def put(m: re.Match, encoding: str = encoding) -> str:
@@ -158,9 +173,19 @@ def _tokens() -> re.Pattern:
     return re.compile(f"[^\\W\\d_{inside}]*[{inside}][^\\W\\d_]*(?:[{inside}][^\\W\\d_]*)*")
 
 
+@functools.cache
+def _odd_sign() -> re.Pattern:
+    """A suspect sign that clean words don't have, or a letter whose case doesn't fit the one before it."""
+    odd = "".join(re.escape(c) for c in sorted(suspects() - set(CLEAN)))
+    upper, lower = "".join(c for c in CLEAN if c.isupper()), "".join(c for c in CLEAN if c.islower())
+    return re.compile(f"[A-Za-z{CLEAN}][{odd}]|[{odd}][A-Za-z{CLEAN}]|[a-z{lower}][{upper}]|[A-Z{upper}]{{2}}[{lower}]")
+
+
 def odd_words(text: str) -> set[str]:
     """Words with a suspect character beside letters."""
-    found = set()
+    found: set[str] = set()
+    if not _odd_sign().search(text):
+        return found
     for w in _tokens().findall(text):
         if not any(c in suspects() and c != "\xa0" for c in w) and not w.endswith("\xa0"):
             w = w.strip("\xa0")
@@ -171,13 +196,13 @@ def odd_words(text: str) -> set[str]:
 
 def needs_look(column: Column) -> Column:
     """Whether a text has any character that damage leaves; checked in the JVM."""
-    plain = "áéíóúüñÁÉÍÓÚÜÑ¿«»ºª“”…"
-    return column.rlike(f"[^\\x00-\\x7F{plain}]")
+    upper, lower = "".join(c for c in CLEAN if c.isupper()), "".join(c for c in CLEAN if c.islower())
+    return column.rlike(f"[^\\x00-\\x7F{CLEAN}¿«»ºª“”…€]|[^\\x00-\\x7F]{{2}}|[a-z{lower}][{upper}]|[A-Z{upper}]{{2}}[{lower}]")
 
 
 def examine(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, decoded, spans, lost and words (damaged word, what it may have been) of every text that needs a look."""
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(needs_look(F.col("text"))).distinct()
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(needs_look(F.col("text")))
     shape = pa.list_(pa.struct([("word", pa.string()), ("was", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +237,7 @@ def damaged_words(df: DataFrame, text: str, examined: DataFrame) -> DataFrame:
 
 def find_damaged(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id of every text with at least one wrongly decoded word."""
-    examined = examine(df, key, text).select("doc_id", "spans", "lost", "words")
+    examined = cut_lineage(examine(df, key, text).select("doc_id", "spans", "lost", "words").where("spans > 0 or lost or size(words) > 0"))
     sure = examined.where("spans > 0 or lost").select("doc_id")
     doubtful = examined.where("spans = 0 and not lost and size(words) > 0")
     words = damaged_words(df, text, examined.where("size(words) > 0")).select("word")
@@ -222,7 +247,7 @@ def find_damaged(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def restore(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, text as stored and restored, for every text that changes."""
-    examined = examine(df, key, text)
+    examined = cut_lineage(examine(df, key, text).where("spans > 0 or size(words) > 0").dropDuplicates(["doc_id", "text"]))
     words = damaged_words(df, text, examined.where("size(words) > 0"))
     by_doc = examined.select("doc_id", F.md5("text").alias("d"), F.explode("words.word").alias("word")).join(words, "word").groupBy("doc_id", "d").agg(F.sort_array(F.collect_set(F.struct("word", "was"))).alias("fixes"))
 

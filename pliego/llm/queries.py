@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm import encoding, forms, leaks, tokens
+from pliego.llm import cuts, encoding, forms, leaks, pairs, tokens
 from pliego.llm.common import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = pairs.label_pairs(table(spark, sf_dir, "responses"))
+    return labelled.where("primary is not null").select("response_id", F.col("primary").alias("defect")).distinct()
+
+
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = pairs.label_pairs(table(spark, sf_dir, "responses"))
+    return labelled.select("response_id", F.explode("posteriors").alias("p")).select("response_id", "p.defect", F.round("p.posterior", 6).alias("posterior")).distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_damaged(table(spark, sf_dir, "contracts"), "doc_id", "content")
 
@@ -33,6 +43,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuts.find_cuts(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = cuts.find_cuts(table(spark, sf_dir, "documents"))
+    return judged.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.round(F.count_if("cut") / F.count("*"), 6).alias("share_cut"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
 
