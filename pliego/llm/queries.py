@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm import cuts, encoding, forms, leaks, pairs, tokens
+from pliego.llm import cuts, encoding, forms, leaks, pairs, scans, tokens
 from pliego.llm.common import table
 
 
@@ -35,6 +35,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(F.lit("document").alias("level_name"), "key_a", "key_b").unionByName(chunks.select(F.lit("chunk").alias("level_name"), "key_a", "key_b"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.find_noise(table(spark, sf_dir, "contracts"), "doc_id", "content")
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(table(spark, sf_dir, "contracts"), "doc_id", "content").select("doc_id", "repaired")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
