@@ -20,6 +20,7 @@ import functools
 import json
 import random
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -35,6 +36,7 @@ MEMO_WORDS = 300_000
 COUNT_WORDS = 400_000
 #: What scanning makes of letters (right, read).
 CONFUSIONS = [("o", "0"), ("O", "0"), ("l", "1"), ("l", "|"), ("i", "1"), ("S", "5"), ("B", "8"), ("ó", "6"), ("a", "@"), ("e", "c"), ("m", "rn"), ("n", "ri"), ("rn", "m"), ("u", "ii"), ("t", "f"), ("g", "q"), ("I", "l"), ("I", "1"), ("cl", "d"), ("ci", "d"), ("d", "cl"), ("é", "è"), ("c", "e"), ("h", "b"), ("b", "h"), ("vi", "w"), ("E", "F"), ("Z", "2"), ("z", "2"), ("s", "5"), ("g", "9"), ("nn", "m"), ("ni", "m"), ("in", "m"), ("á", "a'"), ("f", "t"), ("li", "h")]
+LONG_LINE = 110
 HYPHENS = "-‐¬\xad"
 LETTERS = "a-zA-ZáéíóúüñÁÉÍÓÚÜÑàâãçêôõÀÂÃÇÊÔÕè"
 EDGE = ".,;:()«»\"'[]¿?¡!“”…"
@@ -144,10 +146,13 @@ def join_features(before: str, hyphen: str, after: str, between: bool) -> list[s
 # --- the line model ---------------------------------------------------------------------------------------------------
 
 
+#: Digits that stand for letters become those, other digits, blanks and punctuation go.
+NORMAL = str.maketrans({**{c: None for c in string.punctuation + string.whitespace + string.digits + "·–—«»“”’‘ºª€…¬‐¿¡\xa0\xad"}, "0": "o", "1": "l", "5": "s", "6": "o", "@": "a", "|": "l"})
+
+
 def normal_line(line: str) -> str:
     """A line as it is compared from page to page: no case, spacing, digits or signs that scanning mixes up."""
-    line = re.sub(r"[\W_]+", "", line.lower()).translate(str.maketrans("01568@|", "olsosal"))
-    return re.sub(r"\d", "", line)
+    return line.lower().translate(NORMAL)
 
 
 def line_features(lines: list[str], at: int, seen: dict[str, list[int]]) -> list[str]:
@@ -173,16 +178,18 @@ def furniture(text: str, model: Perceptron) -> tuple[list[str], list[str]]:
     """The lines of a text and the class of each: K (text), H (running header) or N (page number)."""
     lines = text.split("\n")
     seen: dict[str, list[int]] = defaultdict(list)
+    keys = []
     for i, line in enumerate(lines):
-        if len(key := normal_line(line)) >= 4:
+        keys.append(key := normal_line(line) if 4 <= len(line) <= LONG_LINE else "")
+        if len(key) >= 4:
             seen[key].append(i)
     kinds = []
     for i, line in enumerate(lines):
         s = line.strip()
         kind = "K"
         if s and len(s) <= 90 and not PAGE_MARK.fullmatch(s):
-            number = NUMBER_LINE.fullmatch(s) is not None
-            if number or len(seen.get(normal_line(s), ())) >= 2:
+            number = len(s) <= 24 and NUMBER_LINE.fullmatch(s) is not None
+            if number or len(seen.get(keys[i], ())) >= 2:
                 kind = model.predict(line_features(lines, i, seen))
                 if kind == "N" and not number or kind == "H" and number:
                     kind = "N" if number else "K"
@@ -195,6 +202,7 @@ class Repairer:
 
     def __init__(self, models: dict) -> None:
         self.editor = Editor(Perceptron(models["editor"]))
+        self.tokens: dict[str, bool] = {}
         self.lines = Perceptron(models["lines"])
         self.joins = Perceptron(models["joins"])
 
@@ -206,7 +214,8 @@ class Repairer:
     def breaks(self, lines: list[str], kinds: list[str]) -> Iterator[tuple[int, int, str, str, str]]:
         """Line ends at a hyphen that the model joins: both lines, the parts and the hyphen."""
         for i, line in enumerate(lines):
-            m = re.search(f"([{LETTERS}0-9@|]+)([{HYPHENS}])\\s*$", line) if kinds[i] == "K" else None
+            end = line.rstrip()[-1:]
+            m = re.search(f"([{LETTERS}0-9@|]+)([{HYPHENS}])\\s*$", line) if kinds[i] == "K" and end != "" and end in HYPHENS else None
             if not m or len(m.group(1)) < 2:
                 continue
             j = i + 1
@@ -229,14 +238,26 @@ class Repairer:
             if (e := self.editor.edit(whole)) != whole:
                 found.add(("hyphenation", f"{a}-{b}", e))
                 found.add(("misread", whole, e))
-        for i, (line, kind) in enumerate(zip(lines, kinds)):
-            if kind == "N":
-                continue
-            for w in words_in(line):
-                if (i, w) not in skip and (e := self.editor.edit(w)) != w:
-                    found.add(("misread", w, e))
+        if any(map(self.suspect, set(text.split()))):
+            for i, (line, kind) in enumerate(zip(lines, kinds)):
+                if kind == "N":
+                    continue
+                for w in words_in(line):
+                    if (i, w) not in skip and (e := self.editor.edit(w)) != w:
+                        found.add(("misread", w, e))
         return sure, found
 
+    def suspect(self, token: str) -> bool:
+        """Whether the editor changes any word of a token between blanks; remembered for tokens of letters."""
+        got = self.tokens.get(token)
+        if got is None:
+            got = any(self.editor.edit(w) != w for w in words_in(token))
+            if token.strip(EDGE).isalpha():
+                if len(self.tokens) >= MEMO_WORDS:
+                    self.tokens.clear()
+                self.tokens[token] = got
+        return got
+
     def repair(self, text: str, words: dict[str, str], joins: set[str]) -> str:
         """The text without furniture, with checked words put right and lines joined into paragraphs."""
         lines, kinds = furniture(text, self.lines)

@@ -14,7 +14,7 @@ import sys
 from collections import Counter, defaultdict
 
 from pliego.llm.common import model_path
-from pliego.llm.scans import CONFUSIONS, EDGE, HYPHENS, NUMBER_LINE, Perceptron, join_features, line_features, normal_line, replacements, sign_features
+from pliego.llm.scans import CONFUSIONS, EDGE, HYPHENS, LONG_LINE, NUMBER_LINE, Perceptron, join_features, line_features, normal_line, replacements, sign_features
 
 TEXTS = 8000
 COMMON = 15
@@ -139,7 +139,7 @@ def line_data(texts: list[str], rng: random.Random) -> list[tuple[list[str], str
         lines, kinds = page(t, rng)
         seen = defaultdict(list)
         for i, x in enumerate(lines):
-            if len(key := normal_line(x)) >= 4:
+            if len(x) <= LONG_LINE and len(key := normal_line(x)) >= 4:
                 seen[key].append(i)
         for i, (x, kind) in enumerate(zip(lines, kinds)):
             s = x.strip()
