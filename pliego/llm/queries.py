@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm import cuts, encoding, forms, leaks, pairs, scans, tokens
+from pliego.llm import cuts, encoding, forms, leaks, pairs, personal, scans, tokens
 from pliego.llm.common import table
 
 
@@ -21,6 +21,18 @@ def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("response_id", F.explode("posteriors").alias("p")).select("response_id", "p.defect", F.round("p.posterior", 6).alias("posterior")).distinct()
 
 
+def _contract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "contracts").select("doc_id", "content", F.col("metadata.parties").alias("parties"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(_contract_fields(spark, sf_dir), "doc_id", {"content": "content", "parties": "parties"})
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact(_contract_fields(spark, sf_dir).select("doc_id", "content").dropDuplicates(["doc_id", "content"]), "content").select("doc_id", "redacted")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_damaged(table(spark, sf_dir, "contracts"), "doc_id", "content")
 
