@@ -44,14 +44,18 @@ def hidden_states(p: Params, sym: np.ndarray, lens: np.ndarray, keep: bool = Fal
     h, c = np.zeros((2, n, hid), np.float32), np.zeros((2, n, hid), np.float32)
     hs = np.empty((steps, 2, n, hid), np.float32)
     kept = []
+    shift = np.zeros(4 * hid, np.float32)
+    shift[: 3 * hid] = 0.5
+    at = seq.astype(np.intp)
+    inputs = np.empty((2, n, 4 * hid), np.float32)
     for t in range(steps):
+        x[0].take(at[t, 0], 0, out=inputs[0], mode="clip")
+        x[1].take(at[t, 1], 0, out=inputs[1], mode="clip")
         g = np.matmul(h, u)
-        g[0] += x[0][seq[t, 0]]
-        g[1] += x[1][seq[t, 1]]
+        g += inputs
         np.tanh(g, out=g)
-        gates = g[:, :, : 3 * hid]
-        gates *= 0.5
-        gates += 0.5
+        g *= half  # whole rows: slices of the gates would be strided
+        g += shift
         before = c
         c = g[:, :, hid : 2 * hid] * c
         c += g[:, :, :hid] * g[:, :, 3 * hid :]
@@ -70,14 +74,28 @@ def decode(p: Params, sym: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """(B, T) labels of the best paths."""
     states, _ = hidden_states(p, sym, lens)
     e = states @ p["W"] + p["b"]
+    # A run of signs off label 0 gains, beside its scores, at most a stay for each sign but one, and a way in and out
+    # (or a start); where no sign makes up for the best of these, the path of zeros is the best one.
+    t = p["A"] - p["A"][0, 0]
+    gain = max(float(t[1:, 1:].max()), float((t[0, 1:] + t[1:, 0]).max()), float((p["s"][1:] - p["s"][0] + t[1:, 0]).max()), float(t[0, 1:].max()))
+    off = (e[:, :, 1:].max(2) - e[:, :, 0] + gain >= 0) & (np.arange(e.shape[0])[:, None] < lens[None])
+    search = np.flatnonzero(off.any(0))
+    out = np.zeros((e.shape[1], e.shape[0]), np.int8)
+    if len(search):
+        out[search] = _best_paths(p, e[:, search], lens[search])
+    return out
+
+
+def _best_paths(p: Params, e: np.ndarray, lens: np.ndarray) -> np.ndarray:
     steps, n, _ = e.shape
     score = e[0] + p["s"]
     ways = np.empty(e.shape, np.int8)
+    into = np.ascontiguousarray(p["A"].T)
     final = np.where((lens == 1)[:, None], score, 0)
     for t in range(1, steps):
-        s = score[:, :, None] + p["A"][None]
-        ways[t] = s.argmax(1)
-        score = s.max(1) + e[t]
+        s = score[:, None, :] + into[None]
+        ways[t] = way = s.argmax(2)
+        score = np.take_along_axis(s, way[:, :, None], 2)[:, :, 0] + e[t]
         ends = lens == t + 1
         if ends.any():
             final[ends] = score[ends]

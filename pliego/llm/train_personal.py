@@ -20,8 +20,8 @@ from pliego.llm.common import model_path
 from pliego.llm.personal import KINDS, numbers, signs_of, windows
 
 TEXTS = 7000
-HIDDEN = 24
-EPOCHS = 7
+HIDDEN = 16
+EPOCHS = 6
 U = "[A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñü]+"
 WHOLE = rf"(?:{U} {U}, {U}(?: {U})?|{U}(?: {U}){{1,3}}|{U}|[A-ZÁÉÍÓÚÑ]\. {U}(?: {U})?)"
 TITLE = r"(?:\b[Dd]on|\b[Dd]oña|\bD\.|\bDña\.|\bDa\.|\bSr\.|\bSra\.|\b[Ll]a letrada|\b[Ee]l letrado)"
@@ -130,7 +130,7 @@ def main(path: str) -> None:
 
     rng = random.Random(11)
     rows = pq.read_table(path, columns=["content", "metadata"]).to_pylist()[:TEXTS]
-    good = lambda t: t and not re.search(r"[^\x00-\xffŒœ€“”’–—…]|Ã|\xad|\xa0", t)
+    good = lambda t: t and not re.search(r"[^\x00-\xffŒœ€“”’–—…]|Ã(?!O)|\xad|\xa0", t)
     texts = list(dict.fromkeys(r["content"] for r in rows if good(r["content"])))
     parties = [p for r in rows for p in (r["metadata"]["parties"] or []) if good(p)]
     cut = len(texts) // 10
