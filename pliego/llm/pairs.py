@@ -31,7 +31,7 @@ LOW_CONFIDENCE = 0.5
 
 #: Frequent words by language.
 WORDS = {
-    "es": "el la los las del al un una y se con por para su sus es son según más cada año años día días mes meses sí pero sólo debe deberes qué cuál cuánto cómo cuándo hay antes tiempo que no lo le ninguna misma cláusula en de dime indica resume enumera sanciones pactó tiene puede interés plazo fianza garantía incumplimiento",
+    "es": "contrato dura salvo renta mensual vigencia preaviso sobre pregunta como pagar conservar el la los las del al un una y se con por para su sus es son según más cada año años día días mes meses sí pero sólo debe deberes qué cuál cuánto cómo cuándo hay antes tiempo que no lo le ninguna misma cláusula en de dime indica resume enumera sanciones pactó tiene puede interés plazo fianza garantía incumplimiento",
     "en": "the of and is are to in for a an it this that what which how must under by each per year years month months days contract with not there does much long set ended early on was no be can has any or",
     "pt": "o os as do da dos das em um uma não e é são com por para ao à se qual quais que há dias anos meses mês deve contrato sim cada nos de foi como pode no na ou salvo obrigações renda caução dura",
     "fr": "le la les des du de un une et est en par pour que qui dans au aux ne pas il elle ans jours mois contrat oui chaque sous quel quelle quelles sont a se tout ce y selon comment fin loyer dépôt",
