@@ -40,7 +40,7 @@ def unsupported(answer: Column, sources: Column) -> Column:
 def missing_share(missing: Column, answer: Column) -> Column:
     """Unsupported figures for each 100 words, at most 1."""
     words = F.size(tx.tokens(answer, keep_stop_words=True))
-    return F.round(F.least(F.lit(1.0), F.size(missing) / F.greatest(words / 100.0, F.lit(1.0))), 6)
+    return F.least(F.lit(1.0), F.size(missing) / F.greatest(words / 100.0, F.lit(1.0)))
 
 
 def long_date(text: Column) -> Column:

@@ -39,17 +39,17 @@ def query_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 MISSING = f"{ROW}, m as (select response_id, query, answer, n_warnings, len(excerpts) as n_sources, list_filter(list_distinct(regexp_extract_all(lower(answer), {q(an.FIGURES)}, 1)), lambda x: len(list_filter(excerpts, lambda s: contains(s, x))) = 0) as missing, len(list_filter(string_split(regexp_replace(lower(answer), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda t: t <> '')) as n_words from r)"
 
 
-@query(f"with {MISSING} select response_id, len(missing) as n_missing, round(least(1.0, len(missing) / greatest(n_words / 100, 1)), 6) as share from m")
+@query(f"with {MISSING} select response_id, len(missing) as n_missing, round(least(1.0, len(missing) / greatest(n_words / 100, 1))::double + 1e-9, 6) as share from m")
 def unsupported_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = rows(spark, sf_dir).withColumn("missing", an.unsupported(F.col("answer"), F.col("excerpts")))
-    return m.select("response_id", F.size("missing").cast("long").alias("n_missing"), an.missing_share(F.col("missing"), F.col("answer")).alias("share"))
+    return m.select("response_id", F.size("missing").cast("long").alias("n_missing"), F.round(an.missing_share(F.col("missing"), F.col("answer")) + 1e-9, 6).alias("share"))
 
 
-@query(f"with {MISSING} select response_id, round(greatest(0, 1 - 0.1 * n_warnings - 0.2 * (n_sources = 0)::int - 0.5 * least(1.0, len(missing) / greatest(n_words / 100, 1)))::double, 6) as score from m")
+@query(f"with {MISSING} select response_id, round(greatest(0, 1 - 0.1 * n_warnings - 0.2 * (n_sources = 0)::int - 0.5 * least(1.0, len(missing) / greatest(n_words / 100, 1)))::double + 1e-9, 6) as score from m")
 def answer_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One less what warnings, missing sources and unsupported figures take off, not below nought."""
     m = rows(spark, sf_dir).withColumn("missing", an.unsupported(F.col("answer"), F.col("excerpts"))).withColumn("share", an.missing_share(F.col("missing"), F.col("answer")))
-    return m.select("response_id", F.round(F.greatest(F.lit(0.0), 1 - 0.1 * F.col("n_warnings") - 0.2 * (F.size("excerpts") == 0).cast("int") - 0.5 * F.col("share")), 6).alias("score"))
+    return m.select("response_id", F.round(F.greatest(F.lit(0.0), 1 - 0.1 * F.col("n_warnings") - 0.2 * (F.size("excerpts") == 0).cast("int") - 0.5 * F.col("share")) + 1e-9, 6).alias("score"))
 
 
 @query(f"with {ROW}, t as (select response_id, list_filter(list_distinct({sql_tokens('query')}), lambda w: length(w) > 3) as ks, lower(answer) as low from r where query is not null) select response_id, len(ks) as n_keywords, round(len(list_filter(ks, lambda w: contains(low, w))) / nullif(len(ks), 0), 6) as addressed from t")
