@@ -44,39 +44,44 @@ def sign_table() -> dict[int, str | None]:
         if ord(c) not in table:
             base = unicodedata.normalize("NFD", c)[0]
             table[ord(c)] = None if unicodedata.combining(c) else base if base in SIGNS[1:] else OTHER
-    for chars, t in (("«»“”„", '"'), ("’‘´`", "'"), ("–—‐‑¬−", "-"), ("ºª°", "#"), ("€£", "$"), ("¿", "?"), ("¡", "!"), ("…", "."), ("\n\t\r", " "), ("123456789", "0"), ("{<", "("), ("}>", ")"), ("\\", "/")):
+    for chars, t in (("«»“”„", '"'), ("’‘´`", "'"), ("–—‐‑¬−", "-"), ("ºª°", "#"), ("€£", "$"), ("¿", "?"), ("¡", "!"), ("…", "."), ("\t\r", " "), ("123456789", "0"), ("{<", "("), ("}>", ")"), ("\\", "/")):
         table |= {ord(c): t for c in chars}
     for c in map(chr, range(0x20)):
         table.setdefault(ord(c), OTHER)
+    table[ord("\n")] = "\n"  # line ends only help to cut windows; to the model they are blanks
     return table
 
 
 def signs_of(text: str) -> tuple[str, list[int] | None]:
     """The signs of a text, and where each stood (None: at the same place)."""
-    table = sign_table()
     try:  # most texts lie within one byte table, which is much faster
         raw = text.encode("cp1252")
         if b"\xad" not in raw:
             return raw.translate(_byte_table()).decode("ascii"), None
     except UnicodeEncodeError:
         pass
-    out = text.translate(table)
-    if len(out) == len(text) and out.isascii():
-        return out, None
-    kept, where = [], []
-    for i, c in enumerate(text):
-        s = table.get(ord(c), c if c in SIGNS else OTHER)
-        if s:
-            kept.append(s if s in SIGNS else OTHER)
-            where.append(i)
-    return "".join(kept), where
+    points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x10000)
+    codes = _point_table()[points]
+    where = np.flatnonzero(codes)
+    return codes[where].tobytes().decode("ascii"), None if len(where) == len(text) else where.tolist()
+
+
+@functools.cache
+def _point_table() -> np.ndarray:
+    """The sign of every code point of the basic plane, 0 for those the model doesn't see; all others are one sign."""
+    table = sign_table()
+    out = np.full(0x10001, ord(OTHER), np.uint8)
+    for c in range(0x10000):
+        s = table.get(c, chr(c))
+        out[c] = 0 if not s else ord(s) if s in SIGNS[1:] or s == "\n" else ord(OTHER)
+    return out
 
 
 @functools.cache
 def _byte_table() -> bytes:
     table = sign_table()
     signs = [table.get(ord(c), c) or OTHER for c in (bytes([b]).decode("cp1252", "replace") for b in range(256))]
-    return "".join(s if s in SIGNS[1:] else OTHER for s in signs).encode("ascii")
+    return "".join(s if s in SIGNS[1:] or s == "\n" else OTHER for s in signs).encode("ascii")
 
 
 @functools.cache
@@ -91,7 +96,8 @@ def numbers(signs: str) -> np.ndarray:
     return _codes()[np.frombuffer(signs.encode("ascii"), np.uint8)]
 
 
-CUT = re.compile(r"(?<=[a-z0)][a-z0)][a-z0)][.;])(?<!Avda\.)(?<!avda\.)(?<!Ctra\.) +(?=[A-Z(\"-])|(?<=[A-Z][A-Z][A-Z]:) +|   +")
+#: Ends of sentences, headings and list items; not after abbreviations before a name or a number.
+CUT = re.compile(r"[ \n](?:(?<=[a-z0)][a-z0)][a-z0)][.;][ \n])(?<!Avda\.[ \n])(?<!avda\.[ \n])(?<!Ctra\.[ \n])\s*(?=[A-Z(\"-])|(?<=[A-Z][A-Z][A-Z]:[ \n])\s*|(?<=[a-z][a-z][a-z][a-z]:\n)\n*|(?<=\n)\s*\n\s*|(?<=\n)(?=- )|(?<=[A-Z][A-Z][A-Z][A-Z]\n)(?=[A-Z][a-z])|(?<= )  +)")
 
 
 def windows(signs: str) -> list[tuple[int, int]]:
@@ -129,6 +135,7 @@ FORMS = {
     "name": re.compile(rf"(?:[A-Z]\. ?){{0,2}}{_W}(?:[ -]{_W}){{0,4}}(?:, {_W}(?: {_W}){{0,2}})?"),
 }
 TITLES = re.compile(r"^(?:[Dd]on|[Dd]ona|D\.|Dna\.|Da\.|D\.#|Sr\.|Sra\.|[Ll]a letrada|[Ee]l letrado|[Ll]etrad[oa]|Mr\.?|Ms\.?|DON|DONA|Fdo\.:?|y|and|e|El|La|el|la) +")
+TITLE_BEFORE = re.compile(r"(?:[Dd]on|[Dd]ona|DON|DONA|D\.|Dna\.|Da\.|D\.#|Sra?\.|SRA?\.|letrad[oa]|LETRAD[OA]|Mr\.?|Ms\.?) $")
 COMPANY = re.compile(r"^,? ?(?:S\. ?L\.|S\. ?A\.|S\. ?Coop|S\.L|S\.A|SL\b|SA\b)", re.I)
 
 
@@ -152,6 +159,12 @@ def checked(kind: str, signs: str, a: int, b: int) -> tuple[int, int] | None:
         # a word that the label ends inside is taken whole
         while end < len(signs) and signs[end - 1 : end].isalpha() and signs[end].isalpha():
             end += 1
+        # one word is a person's name only after a title; a heading's number before it or its colon after it shows no name
+        before = signs[max(0, a - 14) : a]
+        if not re.search(r"[ .-]", signs[a:end].strip(".")) and not TITLE_BEFORE.search(before):
+            return None
+        if re.search(r"(?:^| )(?:0+\.|[A-Z]+A\.-) $", before) or signs[a:end].isupper() and signs[end : end + 1] == ":":
+            return None
         if COMPANY.match(signs[end : end + 8]) or re.search(r"(?:[Hh]ij[o0]s de|HIJOS DE) $", signs[max(0, a - 9) : a]):
             return None
         return a, end
@@ -167,6 +180,9 @@ def checked(kind: str, signs: str, a: int, b: int) -> tuple[int, int] | None:
     return (s, e) if best[0] >= 0.5 * min(b - a, e - s) else None
 
 
+RUN = re.compile(rb"([\x01-\x7f])\1*")
+
+
 class Finder:
     """Finds personal information in texts; remembers the windows it has labelled."""
 
@@ -195,6 +211,7 @@ class Finder:
         """For each text its findings: kind, and where they begin and end in the text as written."""
         seen = [signs_of(t) if t else ("", None) for t in texts]
         cut = [windows(s) for s, _ in seen]
+        seen = [(s.replace("\n", " "), where) for s, where in seen]
         self.label({s[a:b] for (s, _), ws in zip(seen, cut) for a, b in ws})
         out = []
         for (signs, where), ws in zip(seen, cut):
@@ -208,20 +225,31 @@ class Finder:
         return out
 
     def _spans(self, signs: str, ws: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        hits = [(a, b, lab) for a, b in ws if (lab := self.memo.get(signs[a:b], b""))]
-        if not hits:
-            return []
-        labels = np.zeros(len(signs), np.int8)
-        depth = np.full(len(signs), -1)
-        # windows that overlap: a sign's label comes from where it lies deeper
-        for a, b in ws:
-            lab = self.memo.get(signs[a:b], b"")
+        out: list[tuple[str, int, int]] = []
+        i = 0
+        while i < len(ws):
+            j = i + 1
+            while j < len(ws) and ws[j][0] < ws[j - 1][1]:
+                j += 1
+            start, end = ws[i][0], ws[j - 1][1]
+            labels = [self.memo.get(signs[a:b], b"") for a, b in ws[i:j]]
+            if any(labels):
+                whole = labels[0] if j == i + 1 else self._reconciled(start, end, ws[i:j], labels)
+                out += [(KINDS[m.group(1)[0]], start + m.start(), start + m.end()) for m in RUN.finditer(whole)]
+            i = j
+        return out
+
+    @staticmethod
+    def _reconciled(start: int, end: int, ws: list[tuple[int, int]], found: list[bytes]) -> bytes:
+        """One label for each sign of windows that overlap: from the window in which the sign lies deeper."""
+        labels, depth = np.zeros(end - start, np.int8), np.full(end - start, -1)
+        for (a, b), lab in zip(ws, found):
+            at = slice(a - start, b - start)
             inner = np.minimum(np.arange(b - a), np.arange(b - a)[::-1])
-            deeper = inner > depth[a:b]
-            depth[a:b][deeper] = inner[deeper]
-            labels[a:b][deeper] = np.frombuffer(lab, np.int8)[deeper] if lab else 0
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], labels, [0]])))
-        return [(KINDS[labels[a]], int(a), int(b)) for a, b in zip(edges, edges[1:]) if labels[a]]
+            deeper = inner > depth[at]
+            depth[at][deeper] = inner[deeper]
+            labels[at][deeper] = np.frombuffer(lab, np.int8)[deeper] if lab else 0
+        return labels.tobytes()
 
 
 def find_personal(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:

@@ -114,7 +114,7 @@ def examples(texts: list[str], rng: random.Random, again: bool) -> list[tuple[st
                 flat[a:b] = k
             labels = flat if where is None else flat[where]
             for a, b in windows(signs):
-                w, l = signs[a:b], labels[a:b]
+                w, l = signs[a:b].replace("\n", " "), labels[a:b]
                 if version and not l.any():
                     continue
                 if version == 2 and rng.random() < 0.6:
