@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pliego.functions import text as tx
 from pliego.operators import answers as an
 from pliego.operators import contracts as ca
-from pliego.plans.queries import _contracts, q, query, read, sql_count, sql_tokens
+from pliego.operators import search as se
+from pliego.plans.queries import LEXICAL, _contracts, q, query, read, sql_count, sql_tokens, with_lexical
 from pliego.sources.loaders import conversations
 
 ROW = "r as (select distinct response_id, query, answer, list_transform(coalesce(sources, []), lambda s: lower(coalesce(s.excerpt, ''))) as excerpts, coalesce(len(warnings), 0) as n_warnings from responses where answer is not null)"
@@ -150,3 +153,38 @@ def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read(spark, sf_dir, "responses").select("session_id", "answered_at", "response_id", "query", "answer").distinct()
     return conversations(r, "session_id", "answered_at", "response_id", "query", "answer")
+
+
+@query(f"with {LEXICAL}, z as (select response_id, chunk_id, row_number() over (partition by response_id order by rank_no, chunk_id)::int as old_rank, row_number() over (partition by response_id order by round(0.3 * score + 0.7 * lexical + 1e-9, 6) desc, chunk_id)::int as new_rank from y) select *, old_rank - new_rank as change, case when old_rank > new_rank then 'raised' when old_rank < new_rank then 'lowered' else 'kept' end as verdict from z")
+def rerank_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each hit before and after reranking."""
+    w = Window.partitionBy("response_id")
+    z = with_lexical(spark, sf_dir).withColumn("combined", F.round(se.combine(F.col("score"), F.col("lexical")) + 1e-9, 6))
+    z = z.withColumn("old_rank", F.row_number().over(w.orderBy("rank_no", "chunk_id"))).withColumn("new_rank", F.row_number().over(w.orderBy(F.col("combined").desc(), "chunk_id")))
+    change = F.col("old_rank") - F.col("new_rank")
+    return z.select("response_id", "chunk_id", "old_rank", "new_rank", change.alias("change"), F.when(change > 0, "raised").when(change < 0, "lowered").otherwise("kept").alias("verdict"))
+
+
+#: Pairs of which one sentence has the first and a later one only the second.
+OPPOSITES = [("no ", "sí"), ("prohibid", "permitid"), ("obligatori", "opcional"), ("siempre", "nunca"), ("aument", "disminu")]
+_OPPOSED = " or ".join(f"(contains(a, {q(x)}) and contains(b, {q(y)}) and not contains(b, {q(x)}))" for x, y in OPPOSITES)
+
+
+@query(f"with {ROW}, s as (select response_id, list_filter(list_transform(regexp_split_to_array(lower(answer), '[.!?]+'), lambda t: trim(t)), lambda t: length(t) > 10) as ss from r), u as (select response_id, unnest(ss) as t, generate_subscripts(ss, 1) as i from s), p as (select x.response_id, x.t as a, y.t as b from u x join u y on x.response_id = y.response_id and x.i < y.i where len(x.t) > 0) select response_id, count(*) filter ({_OPPOSED}) as n_contradictions, count(*) as n_pairs from p group by 1")
+def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sentences of one answer, as many as the answer has, that say opposite things."""
+    s = rows(spark, sf_dir).select("response_id", tx.sentences(F.lower("answer")).alias("ss"))
+    pairs = F.flatten(F.transform("ss", lambda a, i: F.transform(F.slice("ss", i + 2, F.size("ss")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    p = s.select("response_id", F.explode(pairs).alias("p")).select("response_id", "p.a", "p.b")
+    opposed = reduce(lambda x, y: x | y, [F.contains("a", F.lit(x)) & F.contains("b", F.lit(y)) & ~F.contains("b", F.lit(x)) for x, y in OPPOSITES])
+    return p.groupBy("response_id").agg(F.count_if(opposed).alias("n_contradictions"), F.count("*").alias("n_pairs"))
+
+
+@query(f"with {ROW}, f as (select distinct query, response_id, unnest(regexp_extract_all(lower(answer), {q(an.FIGURES)}, 1)) as fact from r where query is not null), n as (select query, count(distinct response_id) as n_answers from r where query is not null group by 1) select f.query, fact, count(distinct response_id) as n_support, any_value(n_answers) as n_answers, count(distinct response_id) > 1 as corroborated from f join n using (query) group by 1, 2")
+def cross_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures given in answers to one query, and how many of its answers give them."""
+    r = rows(spark, sf_dir).where("query is not null")
+    f = r.select("query", "response_id", F.explode(F.regexp_extract_all(F.lower("answer"), F.lit(an.FIGURES), F.lit(1))).alias("fact")).distinct()
+    n = r.groupBy("query").agg(F.countDistinct("response_id").alias("n_answers"))
+    counted = f.groupBy("query", "fact").agg(F.count("*").alias("n_support"))
+    return counted.join(n, "query").select("query", "fact", "n_support", "n_answers", (F.col("n_support") > 1).alias("corroborated"))
