@@ -53,6 +53,8 @@ def mapping() -> dict[str, str]:
         if c in table or 0xD800 <= ord(c) < 0xE000:
             continue
         wide = unicodedata.decomposition(c).split(" ")[0] in ("<wide>", "<narrow>") or 0xFB00 <= ord(c) <= 0xFB06
+        joined = unicodedata.category(c)[0] == "L" and unicodedata.decomposition(c).startswith("<compat>") and (plain := unicodedata.normalize("NFKC", c)).isascii() and plain.isalpha() and len(plain) > 1
+        wide = wide or joined
         if unicodedata.category(c) == "Zs":
             put(c, " ")
         elif wide:

@@ -33,8 +33,11 @@ def both_ways(sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.stack([sym.T, np.take_along_axis(sym, back, 1).T], 1), back
 
 
-def hidden_states(p: Params, sym: np.ndarray, lens: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-    """(T, B, 2H) states; with keep also what the gradient needs. Gates lie in the order in, forget, out, new."""
+def run_states(p: Params, sym: np.ndarray, lens: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(T, 2, B, H) states, the backward ones in their own order; with keep also what the gradient needs.
+
+    Gates lie in the order in, forget, out, new.
+    """
     seq, back = both_ways(sym, lens)
     steps, _, n = seq.shape
     hid = p["U"].shape[1]
@@ -64,28 +67,58 @@ def hidden_states(p: Params, sym: np.ndarray, lens: np.ndarray, keep: bool = Fal
             kept.append((g, before, tc, h))
         h = g[:, :, 2 * hid : 3 * hid] * tc
         hs[t] = h
-    out = np.empty((steps, n, 2 * hid), np.float32)
-    out[:, :, :hid] = hs[:, 0]
-    out[:, :, hid:] = np.take_along_axis(hs[:, 1], back.T[:, :, None], 0)
-    return out, (seq, back, kept)
+    return hs, seq, back, kept
+
+
+def hidden_states(p: Params, sym: np.ndarray, lens: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+    """(T, B, 2H) states in text order, and what the gradient needs."""
+    hs, seq, back, kept = run_states(p, sym, lens, keep)
+    return np.concatenate([hs[:, 0], np.take_along_axis(hs[:, 1], back.T[:, :, None], 0)], 2), (seq, back, kept)
+
+
+def label_scores(p: Params, sym: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """(T, B, K) scores; the backward half is put in text order only after it is as narrow as the labels."""
+    hs, _, back, _ = run_states(p, sym, lens)
+    hid = p["U"].shape[1]
+    return hs[:, 0] @ p["W"][:hid] + np.take_along_axis(hs[:, 1] @ p["W"][hid:], back.T[:, :, None], 0) + p["b"]
 
 
 def decode(p: Params, sym: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """(B, T) labels of the best paths."""
-    states, _ = hidden_states(p, sym, lens)
-    e = states @ p["W"] + p["b"]
-    # A run of signs off label 0 gains, beside its scores, at most a stay for each sign but one, and a way in and out
-    # (or a start); where no sign makes up for the best of these, the path of zeros is the best one.
-    t = p["A"] - p["A"][0, 0]
-    gain = max(float(t[1:, 1:].max()), float((t[0, 1:] + t[1:, 0]).max()), float((p["s"][1:] - p["s"][0] + t[1:, 0]).max()), float(t[0, 1:].max()))
-    off = (e[:, :, 1:].max(2) - e[:, :, 0] + gain >= 0) & (np.arange(e.shape[0])[:, None] < lens[None])
-    search = np.flatnonzero(off.any(0))
+    e = label_scores(p, sym, lens)
+    search = np.flatnonzero(_may_leave_zero(p, e, lens))
     out = np.zeros((e.shape[1], e.shape[0]), np.int8)
     if len(search):
         out[search] = _best_paths(p, e[:, search], lens[search])
     return out
 
 
+def _may_leave_zero(p: Params, e: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Whether any run of signs off label 0 could make up for the ways in and out of it; else all are label 0.
+
+    A run gains at most the sum of its signs' best scores over label 0, each with the best stay, and what the best way
+    in (or start) and the best way out cost, the last of which it saves at the end. The greatest sums of runs anywhere,
+    from the start and to the end are found in one pass.
+    """
+    t, s = p["A"] - p["A"][0, 0], p["s"] - p["s"][0]
+    gain = e[:, :, 1:].max(2) - e[:, :, 0] + max(0.0, float(t[1:, 1:].max()))
+    way_in, way_out, start = float(t[0, 1:].max()), float(t[1:, 0].max()), float(s[1:].max())
+    n = len(lens)
+    run, best = np.full(n, -np.inf, np.float32), np.full(n, -np.inf, np.float32)
+    prefix, most = np.zeros(n, np.float32), np.full(n, -np.inf, np.float32)
+    may = np.zeros(n, bool)
+    for i in range(len(gain)):
+        run = np.maximum(run, 0) + gain[i]
+        prefix = prefix + gain[i]
+        inside = i < lens
+        best = np.where(inside, np.maximum(best, run), best)
+        most = np.where(inside, np.maximum(most, prefix), most)
+        at_end = lens == i + 1
+        if at_end.any():
+            may |= at_end & ((run + way_in >= 0) | (prefix + start >= 0))
+    return may | (best + way_in + way_out >= 0) | (most + start + way_out >= 0)
+
+
 def _best_paths(p: Params, e: np.ndarray, lens: np.ndarray) -> np.ndarray:
     steps, n, _ = e.shape
     score = e[0] + p["s"]
