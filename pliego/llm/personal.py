@@ -212,10 +212,11 @@ class Finder:
         seen = [signs_of(t) if t else ("", None) for t in texts]
         cut = [windows(s) for s, _ in seen]
         seen = [(s.replace("\n", " "), where) for s, where in seen]
-        self.label({s[a:b] for (s, _), ws in zip(seen, cut) for a, b in ws})
+        pieces = [[s[a:b] for a, b in ws] for (s, _), ws in zip(seen, cut)]
+        self.label({w for ws in pieces for w in ws})
         out = []
-        for (signs, where), ws in zip(seen, cut):
-            spans = self._spans(signs, ws)
+        for (signs, where), ws, texts_of in zip(seen, cut, pieces):
+            spans = self._spans(ws, [self.memo.get(w, b"") for w in texts_of])
             found = []
             for kind, a, b in spans:
                 ends = checked(kind, signs, a, b)
@@ -224,15 +225,16 @@ class Finder:
             out.append([(k, where[a] if where else a, (where[b - 1] if where else b - 1) + 1) for k, a, b in found])
         return out
 
-    def _spans(self, signs: str, ws: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    def _spans(self, ws: list[tuple[int, int]], found: list[bytes]) -> list[tuple[str, int, int]]:
         out: list[tuple[str, int, int]] = []
+        if not any(found):
+            return out
         i = 0
         while i < len(ws):
             j = i + 1
             while j < len(ws) and ws[j][0] < ws[j - 1][1]:
                 j += 1
-            start, end = ws[i][0], ws[j - 1][1]
-            labels = [self.memo.get(signs[a:b], b"") for a, b in ws[i:j]]
+            start, end, labels = ws[i][0], ws[j - 1][1], found[i:j]
             if any(labels):
                 whole = labels[0] if j == i + 1 else self._reconciled(start, end, ws[i:j], labels)
                 out += [(KINDS[m.group(1)[0]], start + m.start(), start + m.end()) for m in RUN.finditer(whole)]

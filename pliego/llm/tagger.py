@@ -127,8 +127,8 @@ def _best_paths(p: Params, e: np.ndarray, lens: np.ndarray) -> np.ndarray:
     final = np.where((lens == 1)[:, None], score, 0)
     for t in range(1, steps):
         s = score[:, None, :] + into[None]
-        ways[t] = way = s.argmax(2)
-        score = np.take_along_axis(s, way[:, :, None], 2)[:, :, 0] + e[t]
+        ways[t] = s.argmax(2)
+        score = s.max(2) + e[t]
         ends = lens == t + 1
         if ends.any():
             final[ends] = score[ends]
