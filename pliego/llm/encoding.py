@@ -7,7 +7,9 @@
 2. Damage between single-byte encodings has no byte structure to find, so the method can't show it. There each word
    with a character such a mix-up yields is mapped back through the pair of encodings, and the result is accepted if
    the corpus itself knows that word: it stands in at least KNOWN texts and RATIO times as many as the damaged form.
-   The corpus counts are over all texts and joined, not broadcast by hand.
+   The corpus counts are over all texts and joined, not broadcast by hand; copies of a damaged text count once, so that
+   they can't outvote the right word. A sign between letters that no clean word has there (PROOF) shows the damage of a
+   word that the corpus doesn't confirm; it is put right if the word it was is known or only one is possible.
 3. A replacement sign beside a letter shows damage that can't be undone.
 
 Nulls and empty texts are no cases. A key loaded twice with the same text gives one row.
@@ -167,6 +169,11 @@ def back_through(word: str) -> set[str]:
     return out
 
 
+#: A word with a currency, fraction, frame or control sign between letters of one case. Blanks, dashes, quotes, dots,
+#: opening marks and the signs of units may stand between words that lack a blank, so they prove nothing.
+PROOF = "^(?=(?:[^A-Za-z]*[A-Za-z]){3}).*(?:[a-záéíóúüñ]SIGN[a-záéíóúüñ]|[A-ZÁÉÍÓÚÜÑ]SIGN[A-ZÁÉÍÓÚÜÑ])".replace("SIGN", "[\x81\x8d\x90¢£¤¥§±¶¾†‡‰√≤⌠⌡┌└├┬┴═╒╔╘╙╟╤╩▄]")
+
+
 @functools.cache
 def _tokens() -> re.Pattern:
     inside = "".join(re.escape(c) for c in sorted(suspects()))
@@ -229,15 +236,19 @@ def known_words(df: DataFrame, text: str) -> DataFrame:
 
 
 def damaged_words(df: DataFrame, text: str, examined: DataFrame) -> DataFrame:
-    """word, was: the single-byte damage that the corpus' own words confirm."""
-    candidates = examined.select(F.explode("words").alias("w")).groupBy("w.word", "w.was").agg(F.count("*").alias("seen"))
-    confirmed = candidates.join(known_words(df, text), "was").where((F.col("known") >= KNOWN) & (F.col("known") >= RATIO * F.col("seen")))
-    return confirmed.groupBy("word").agg(F.max_by("was", F.struct("known", "was")).alias("was"))
+    """word, was: the single-byte damage that the corpus' own words confirm or a sign proves; was is null if unsure."""
+    each = examined.select("digest", F.explode("words").alias("w")).select("digest", "w.word", "w.was").distinct()
+    candidates = each.groupBy("word", "was").agg(F.count("*").alias("seen"))
+    known = F.coalesce("known", F.lit(0))
+    judged = candidates.join(known_words(df, text), "was", "left").withColumn("known", known).withColumn("confirmed", (known >= KNOWN) & (known >= RATIO * F.col("seen")))
+    likeliest = F.max_by("was", F.struct("confirmed", "known", "was"))
+    sure = F.bool_or("confirmed") | (F.max("known") > 0) | (F.count("*") == 1)
+    return judged.where(F.col("confirmed") | F.col("word").rlike(PROOF)).groupBy("word").agg(F.when(sure, likeliest).alias("was"))
 
 
 def find_damaged(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id of every text with at least one wrongly decoded word."""
-    examined = cut_lineage(examine(df, key, text).select("doc_id", "spans", "lost", "words").where("spans > 0 or lost or size(words) > 0"))
+    examined = cut_lineage(examine(df, key, text).where("spans > 0 or lost or size(words) > 0").select("doc_id", "spans", "lost", "words", F.md5("text").alias("digest")))
     sure = examined.where("spans > 0 or lost").select("doc_id")
     doubtful = examined.where("spans = 0 and not lost and size(words) > 0")
     words = damaged_words(df, text, examined.where("size(words) > 0")).select("word")
@@ -247,9 +258,9 @@ def find_damaged(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def restore(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, text as stored and restored, for every text that changes."""
-    examined = cut_lineage(examine(df, key, text).where("spans > 0 or size(words) > 0").dropDuplicates(["doc_id", "text"]))
-    words = damaged_words(df, text, examined.where("size(words) > 0"))
-    by_doc = examined.select("doc_id", F.md5("text").alias("d"), F.explode("words.word").alias("word")).join(words, "word").groupBy("doc_id", "d").agg(F.sort_array(F.collect_set(F.struct("word", "was"))).alias("fixes"))
+    examined = cut_lineage(examine(df, key, text).where("spans > 0 or size(words) > 0").dropDuplicates(["doc_id", "text"]).withColumn("digest", F.md5("text")))
+    words = damaged_words(df, text, examined.where("size(words) > 0")).where("was is not null")
+    by_doc = examined.select("doc_id", "digest", F.explode("words.word").alias("word")).join(words, "word").groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("word", "was"))).alias("fixes"))
 
     @F.pandas_udf("string")
     def mend(texts, fixes):
@@ -261,5 +272,5 @@ def restore(df: DataFrame, key: str, text: str) -> DataFrame:
 
         return pd.Series(out)
 
-    rows = examined.select("doc_id", "text", "decoded", F.md5("text").alias("d")).join(by_doc, ["doc_id", "d"], "left")
+    rows = examined.select("doc_id", "text", "decoded", "digest").join(by_doc, ["doc_id", "digest"], "left")
     return rows.select("doc_id", "text", mend("decoded", "fixes").alias("restored")).where("text <> restored")

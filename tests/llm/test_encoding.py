@@ -31,3 +31,14 @@ def test_found_and_restored(spark):
     got = {r.doc_id: r.restored for r in encoding.restore(df, "doc_id", "text").collect()}
     assert got == {"latin": "la duración y la resolución", "mac": "la duración pactada", "utf": "la duración"}
     assert encoding.find_damaged(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_copies_and_rare_words(spark):
+    clean = [(f"c{i}", f"Tras la duración pactada número {i}") for i in range(20)]
+    copies = [(f"copy{i}", "la duraci—n del encargo") for i in range(10)]
+    rare = [("rare", "en la finca Pe¤alba"), ("lone", "Ａ — b, 5 ¢ y US$ o 3¾ de l·l"), ("dash", "Madrid—Burgos")]
+    df = spark.createDataFrame(clean + copies + rare, "doc_id string, text string")
+    want = sorted([d for d, _ in copies] + ["rare"])
+    assert sorted(r.doc_id for r in encoding.find_damaged(df, "doc_id", "text").collect()) == want
+    got = {r.doc_id: r.restored for r in encoding.restore(df, "doc_id", "text").collect()}
+    assert got == {d: "la duración del encargo" for d, _ in copies} | {"rare": "en la finca Peñalba"}
