@@ -8,8 +8,9 @@ Two averaged perceptrons, trained by train_scans on clean text that is damaged o
   insert signs), and at a hyphen before a line end whether to join the lines.
 
 An exact check follows: an edited or joined word must be known to the corpus, in at least KNOWN texts and RATIO times
-as many as the form found. Word counts cover all texts; each task counts its own and Spark sums them. Repeated words
-are edited once a task. Texts are read whole.
+as many as the form found. Word counts cover all texts; each task counts its own and Spark sums them. Copies of a text
+are looked at once, and the form found counts once for all of them, so that they can't outvote the right word.
+Repeated words are edited once a task. Texts are read whole.
 
 Null and empty texts have no noise. The loader's own page marks, plain line ends, lists and hyphenated words stay.
 """
@@ -303,72 +304,76 @@ def words_in(line: str) -> Iterator[str]:
 # --- over a corpus ----------------------------------------------------------------------------------------------------
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """In how many texts each word stands (n); each task sums its own words first."""
+def examine(df: DataFrame, text: str) -> DataFrame:
+    """What every distinct text has, and the words of all texts.
+
+    digest, kind, form, edited: sure noise (edited null) and candidates of the text with that md5. Rows of kind word
+    have no digest: form is a word, n in how many texts it stands and n_distinct in how many distinct ones; each task
+    sums its own words first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repairer = Repairer.load()
+        names = {"H": "running_header", "N": "page_number"}
         counts: Counter = Counter()
+        distinct: Counter = Counter()
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * 6
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), *(pa.array(c, pa.int64()) for c in cols[4:])], ["digest", "kind", "form", "edited", "n", "n_distinct"])
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            out = made([(None, "word", w, None, n, distinct[w]) for w, n in counts.items()])
             counts.clear()
+            distinct.clear()
             return out
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update({w.strip(EDGE) for w in set(t.split())})
+            rows: list[tuple] = []
+            for d, t, copies in zip(*(c.to_pylist() for c in batch.columns)):
+                words = {w.strip(EDGE) for w in set(t.split())}
+                distinct.update(words)
+                counts.update(dict.fromkeys(words, copies))
                 if len(counts) >= COUNT_WORDS:
                     yield flush()
-        yield flush()
-
-    rows = df.select(F.col(text).alias("t")).where("t is not null").mapInArrow(run, "word string, n long")
-    return rows.where(F.col("word").rlike(r"^\p{L}[\p{L}-]*$")).groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def examine(df: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, kind, form, edited: sure noise (edited null) and candidates, once for each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer.load()
-        names = {"H": "running_header", "N": "page_number"}
-        for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sure, found = repairer.candidates(t)
-                for row in [(names[s], None, None) for s in sorted(sure)] + sorted(found):
-                    for c, v in zip(cols, (k, *row)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *(pa.array(c, pa.string()) for c in cols[1:])], ["doc_id", "kind", "form", "edited"])
+                rows += [(d, names[k], None, None, None, None) for k in sorted(sure)] + [(d, *f, None, None) for f in sorted(found)]
+            yield made(rows)
+        yield flush()
 
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, kind string, form string, edited string")
+    texts = df.where(F.length(text) > 0).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("copies")).select(F.md5("t").alias("digest"), "t", "copies")
+    rows = texts.mapInArrow(run, "digest string, kind string, form string, edited string, n long, n_distinct long")
+    return rows.where((F.col("kind") != "word") | F.col("form").rlike(r"^\p{L}[\p{L}-]*$"))
 
 
-def checked_edits(df: DataFrame, text: str, examined: DataFrame) -> DataFrame:
+def checked_edits(examined: DataFrame) -> DataFrame:
     """kind, form, edited: the candidates that the corpus' words confirm."""
-    counts = word_counts(df, text)
+    counts = examined.where("kind = 'word'").groupBy("form").agg(F.sum("n").alias("known"), F.sum("n_distinct").alias("found"))
     pairs = examined.where("edited is not null").groupBy("kind", "form", "edited").agg(F.count("*").alias("uses"))
-    ok = pairs.join(counts.select(F.col("word").alias("edited"), F.col("n").alias("known")), "edited").join(counts.select(F.col("word").alias("form"), F.col("n").alias("found")), "form", "left")
+    ok = pairs.join(counts.select(F.col("form").alias("edited"), "known"), "edited").join(counts.select("form", "found"), "form", "left")
     return ok.where((F.col("known") >= KNOWN) & (F.col("known") >= RATIO * F.greatest(F.coalesce("found", F.lit(0)), F.when(F.col("kind") == "misread", F.col("uses")).otherwise(0)))).select("kind", "form", "edited")
 
 
+def noise_of(df: DataFrame, text: str) -> DataFrame:
+    """digest, kind, form, edited: sure noise (form and edited null) and checked edits of each distinct text."""
+    examined = cut_lineage(examine(df, text))
+    noise = examined.where("kind <> 'word'").select("digest", "kind", "form", "edited")
+    checked = noise.where("edited is not null").join(checked_edits(examined), ["kind", "form", "edited"], "left_semi")
+    return noise.where("edited is null").unionByName(checked.select("digest", "kind", "form", "edited"))
+
+
 def find_noise(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, noise_kind: one row for each text and kind of noise present."""
-    examined = cut_lineage(examine(df, key, text).distinct())
-    edits = checked_edits(df, text, examined)
-    sure = examined.where("edited is null").select("doc_id", "kind")
-    checked = examined.where("edited is not null").join(edits, ["kind", "form", "edited"], "left_semi").select("doc_id", "kind")
-    return sure.unionByName(checked).distinct().withColumnRenamed("kind", "noise_kind")
+    kinds = noise_of(df, text).select("digest", F.col("kind").alias("noise_kind")).distinct()
+    owners = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0).select("doc_id", F.md5("text").alias("digest"))
+    return owners.join(kinds, "digest").select("doc_id", "noise_kind").distinct()
 
 
 def repair(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, text and repaired, for every text with noise."""
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0).dropDuplicates(["doc_id", "text"])
-    examined = cut_lineage(examine(rows, "doc_id", "text").distinct())
-    edits = checked_edits(df, text, examined)
-    sure = examined.where("edited is null").select("doc_id", F.lit(None).cast("struct<kind:string,form:string,edited:string>").alias("e"))
-    found = examined.where("edited is not null").join(edits, ["kind", "form", "edited"], "left_semi").select("doc_id", F.struct("kind", "form", "edited").alias("e"))
-    by_doc = sure.unionByName(found).groupBy("doc_id").agg(F.collect_set("e").alias("edits"))
+    edit = F.when(F.col("edited").isNotNull(), F.struct("kind", "form", "edited"))
+    by_text = noise_of(df, text).groupBy("digest").agg(F.collect_set(edit).alias("edits"))
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0).dropDuplicates(["doc_id", "text"]).withColumn("digest", F.md5("text"))
 
     @F.pandas_udf("string")
     def mend(texts, edits):
@@ -380,4 +385,4 @@ def repair(df: DataFrame, key: str, text: str) -> DataFrame:
             out.append(repairer.repair(t, {e["form"]: e["edited"] for e in es if e["kind"] == "misread"}, {e["form"] for e in es if e["kind"] == "hyphenation"}))
         return pd.Series(out)
 
-    return rows.join(by_doc, "doc_id").select("doc_id", "text", mend("text", "edits").alias("repaired"))
+    return rows.join(by_text, "digest").select("doc_id", "text", mend("text", "edits").alias("repaired"))

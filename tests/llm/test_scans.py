@@ -30,3 +30,11 @@ def test_perceptron_learns():
     data = [(f + ["".join(f)], c) for f, c in data]
     model = scans.Perceptron.train(data, 10)
     assert all(model.predict(f) == c for f, c in data)
+
+
+def test_copies_of_a_misread_text(spark):
+    clean = [(f"c{i}", f"El contrato y su duración número {i}") for i in range(20)]
+    copies = [(f"m{i}", "El c0ntrato y su duraci6n") for i in range(10)]
+    df = spark.createDataFrame(clean + copies, "doc_id string, text string")
+    assert sorted(tuple(r) for r in scans.find_noise(df, "doc_id", "text").collect()) == [(d, "misread") for d, _ in copies]
+    assert {tuple(r) for r in scans.repair(df, "doc_id", "text").select("doc_id", "repaired").collect()} == {(d, "El contrato y su duración") for d, _ in copies}
