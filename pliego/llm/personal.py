@@ -281,19 +281,23 @@ def find_personal(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
 
 
 def redact(df: DataFrame, text: str, out: str = "redacted") -> DataFrame:
-    """df with the text in which every finding is replaced by its kind in brackets, [NAME] for instance."""
+    """df with the text, or array of texts, in which every finding is replaced by its kind in brackets, [NAME] for instance."""
+    kind = dict(df.dtypes)[text]
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(kind if kind == "array<string>" else "string")
     def replace(texts):
         import pandas as pd
 
-        finder, got = _finder(), []
-        values = [t if isinstance(t, str) else None for t in texts]
-        for t, found in zip(values, finder.find_all(values)):
-            for kind, a, b in reversed(found):
-                t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
-            got.append(t)
-        return pd.Series(got, dtype=object)
+        values = [None if t is None else [t] if isinstance(t, str) else list(t) for t in texts]
+        flat = [t for v in values if v is not None for t in v]
+        done = []
+        for t, found in zip(flat, _finder().find_all(flat)):
+            for label, a, b in reversed(found):
+                t = f"{t[:a]}[{label.upper()}]{t[b:]}"
+            done.append(t)
+        rest = iter(done)
+        got = [None if v is None else [next(rest) for _ in v] for v in values]
+        return pd.Series(got if kind == "array<string>" else [v[0] if v else None for v in got], dtype=object)
 
     return df.withColumn(out, replace(F.col(text)))
 

@@ -30,7 +30,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.redact(_contract_fields(spark, sf_dir).select("doc_id", "content").dropDuplicates(["doc_id", "content"]), "content").select("doc_id", "redacted")
+    rows = _contract_fields(spark, sf_dir).distinct()
+    return personal.redact(personal.redact(rows, "content"), "parties", "redacted_parties").select("doc_id", "redacted", "redacted_parties")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 
-from pliego.llm import personal, tagger
+from pliego.llm import personal, queries, tagger
 
 
 def test_gradient_is_right():
@@ -59,3 +59,11 @@ def test_tables(spark):
     assert personal.find_personal(df.limit(0), "kind", {"content": "content"}).count() == 0
     red = {r.kind: r.redacted for r in personal.redact(df, "content").collect()}
     assert red["a"] == "Fdo.: [NAME]" and red["b"] is None
+
+
+def test_redacted_parties(spark, tmp_path):
+    rows = [("a", "Fdo.: Lucía Heredizo Cantolla", (["don Lucía Heredizo Cantolla", None, "", "Talleres Ondavera S.L."],)), ("b", None, (None,)), ("c", "", ([],))]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id string, content string, metadata struct<parties: array<string>>")
+    df.write.parquet(str(tmp_path / "contracts.parquet"))
+    got = sorted(tuple(r) for r in queries.p2_redacted(spark, str(tmp_path)).collect())
+    assert got == [("a", "Fdo.: [NAME]", ["don [NAME]", None, "", "Talleres Ondavera S.L."]), ("b", None, None), ("c", "", [])]
