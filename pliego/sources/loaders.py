@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ from pliego.functions.text import clean_spaces
 
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 LOADED = "path string, filename string, extension string, size_bytes long, modified_at timestamp, content string, status string"
+#: Most turns, and characters of JSON, in one row of an exported conversation (a longer single turn has its own).
+BLOCK_TURNS = 1000
+BLOCK_CHARS = 4_000_000
 
 
 def decoded(raw: bytes) -> str:
@@ -125,8 +129,37 @@ def extraction_report(loaded: DataFrame) -> DataFrame:
 
 
 def conversations(turns: DataFrame, key: str, order: str, *cols: str) -> DataFrame:
-    """One JSON text per conversation with its turns in order."""
-    return turns.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(order, *cols)))).alias("history"))
+    """JSON texts with the turns of each conversation in order: its key, first_turn, n_turns and history.
+
+    A conversation has as many rows as it needs: one holds at most BLOCK_TURNS turns and ends at BLOCK_CHARS. Turns are
+    sorted by range over conversation and order, so that a long conversation lies in many tasks, and written as they pass.
+    """
+    sort = [key, order, *cols]
+    kinds = dict(turns.dtypes)
+    rows = turns.repartitionByRange(*sort).sortWithinPartitions(*sort).select(key, F.col(order).alias("first_turn"), F.to_json(F.struct(order, *cols)).alias("turn"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[str] = []
+        chars, begin, schema = 0, None, None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([begin[0], begin[1], pa.array([len(block)], pa.int64()), pa.array([f"[{','.join(block)}]"], pa.string())], [*schema.names[:2], "n_turns", "history"])
+
+        of: object = None
+        for batch in batches:
+            schema = batch.schema
+            for i, (k, turn) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if block and (k != of or len(block) >= BLOCK_TURNS or chars + len(turn) > BLOCK_CHARS):
+                    yield made()
+                    block, chars = [], 0
+                if not block:
+                    of, begin = k, (batch.column(0).slice(i, 1), batch.column(1).slice(i, 1))
+                block.append(turn)
+                chars += len(turn)
+        if block:
+            yield made()
+
+    return rows.mapInArrow(write, f"{key} {kinds[key]}, first_turn {kinds[order]}, n_turns long, history string")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

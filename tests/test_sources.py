@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
@@ -55,3 +56,12 @@ def test_conversations(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "s int, turn int, text string")
     got = {r.s: r.history for r in loaders.conversations(df, "s", "turn", "text").collect()}
     assert got[1] == '[{"turn":1,"text":"a"},{"turn":2,"text":"b"}]'
+
+
+def test_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(loaders, "BLOCK_TURNS", 7)
+    rows = [(1, i, f"«{i}»" if i % 5 else None) for i in range(100)] + [(2, 1, "c"), (None, 1, "d")]
+    df = spark.createDataFrame(rows[::-1], "s int, turn int, text string").repartition(5)
+    got = sorted((r for r in loaders.conversations(df, "s", "turn", "text").collect()), key=lambda r: (r.s or 0, r.first_turn))
+    assert len([r for r in got if r.s == 1]) >= 15 and all(r.n_turns <= 7 and r.n_turns == len(json.loads(r.history)) for r in got)
+    assert [(r.s, t["turn"], t.get("text")) for r in got for t in json.loads(r.history)] == sorted(rows, key=lambda r: (r[0] or 0, r[1]))
