@@ -22,6 +22,7 @@ Nulls, empty and wordless texts and items give no row; repeated rows give one ro
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
@@ -53,6 +54,9 @@ COMPARED_AT_ONCE = 20_000
 AT_ONCE = 4_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 END = "\x1e"
+#: ASCII letters and digits, and END, stay; all else is a blank.
+IN_WORDS = bytes(c if chr(c).isalnum() and c < 128 or chr(c) == END else 32 for c in range(256))
+AGREE = re.compile(rb"\x01+")
 
 
 def plain(text: str) -> str:
@@ -158,26 +162,29 @@ class Stretch(NamedTuple):
         return max(b - a for a, b in self.runs)
 
 
-def best_stretch(same: np.ndarray) -> Stretch | None:
-    """The longest stretch with at most one word in ten replaced; same: which of the item's words agree."""
-    n = len(same)
-    edge = min(EDGE, n)
-    bounds = np.flatnonzero(np.diff(np.r_[False, same, False]))
-    runs = [(int(a), int(b)) for a, b in zip(bounds[::2], bounds[1::2])]
-    edges = [(a, b) for a, b in runs if b - a >= edge]
-    total = np.r_[0, np.cumsum(same)]
+def best_stretch(same: bytes) -> Stretch | None:
+    """The longest stretch with at most one word in ten replaced; same: which of the item's words agree (1) or not."""
+    runs = [m.span() for m in AGREE.finditer(same)]
+    edge = min(EDGE, len(same))
+    agreed = [0]
+    for a, b in runs:
+        agreed.append(agreed[-1] + b - a)
     best: Stretch | None = None
-    for s, _ in edges:
-        for _, e in reversed(edges):
-            if e <= s or best and e - s <= best.size:
+    for i, (s, s_end) in enumerate(runs):
+        if s_end - s < edge:
+            continue
+        for j in range(len(runs) - 1, i - 1, -1):
+            e = runs[j][1]
+            if best and e - s <= best.size:
                 break
-            if (e - s) - (total[e] - total[s]) <= (e - s) // REPLACED_IN:
-                best = Stretch(s, e, int(total[e] - total[s]), tuple(r for r in runs if s <= r[0] and r[1] <= e))
+            agree = agreed[j + 1] - agreed[i]
+            if e - runs[j][0] >= edge and (e - s) - agree <= (e - s) // REPLACED_IN:
+                best = Stretch(s, e, agree, tuple(runs[i : j + 1]))
                 break
     return best
 
 
-def held(need: int, by_diagonal: list[tuple[int, np.ndarray]]) -> Stretch | None:
+def held(need: int, by_diagonal: list[tuple[int, bytes]]) -> Stretch | None:
     """What of an item stands in a text, in one piece or two, if that is enough; the likeliest to be no chance."""
     found = [(d, s) for d, same in sorted(by_diagonal, key=lambda x: x[0]) if (s := best_stretch(same))]
     whole = [s for _, s in found if s.size >= need]
@@ -200,6 +207,8 @@ class Search:
         self.length = np.array([len(ids) for _, ids in kept], np.int64)
         self.begin = np.cumsum(self.length) - self.length
         self.numbers = np.array([i for _, ids in kept for i in ids], np.int32)
+        self.number[END] = -1
+        self.ascii_number = {w.encode(): n for w, n in self.number.items() if w.isascii()}
         self.uses = np.zeros(len(self.numbers), np.int64)
         sizes = np.array([seed_length(n) for n in self.length], np.int64)
         self.searches = [WuManber.build(int(m), self.numbers, np.flatnonzero(sizes == m), self.begin, self.length) for m in np.unique(sizes)]
@@ -208,11 +217,19 @@ class Search:
         """The word numbers of all texts in one array, and where each text begins and ends; a nought stands between."""
         import regex
 
-        joined = plain(END.join(t.replace(END, " ") for t in texts).casefold())
-        get = self.number.get
-        ids = np.array([get(w, 0) if w != END else -1 for w in regex.findall(rf"[\p{{L}}\p{{N}}]+|{END}", joined)], np.int32)
-        stops = np.append(np.flatnonzero(ids == -1), len(ids))
-        return np.maximum(ids, 0), np.c_[np.r_[0, stops[:-1] + 1], stops]
+        joined = plain(f" {END} ".join(t.replace(END, " ") for t in texts).casefold())
+        for c in set(joined):  # signs beyond ASCII that are no part of a word
+            if not c.isascii() and not regex.match(r"[\p{L}\p{N}]", c):
+                joined = joined.replace(c, " ")
+        if joined.isascii():
+            get = self.ascii_number.get
+            ids = [get(w, 0) for w in joined.encode().translate(IN_WORDS).split()]
+        else:
+            get = self.number.get
+            ids = [get(w, 0) for w in regex.findall(rf"[\p{{L}}\p{{N}}]+|{END}", joined)]
+        numbers = np.array(ids, np.int32)
+        stops = np.append(np.flatnonzero(numbers == -1), len(numbers))
+        return np.maximum(numbers, 0), np.c_[np.r_[0, stops[:-1] + 1], stops]
 
     def find(self, texts: list[str]) -> list[tuple[int, int, Stretch]]:
         """Of every text that holds an item: its place among texts, the item's slot and what stands there."""
@@ -287,12 +304,16 @@ class Search:
                 gap, near = low[k:] - high[:-k], group[a] == group[b]
                 if not near.any():
                     break
-                both = near & (d[a] < d[b]) & (agree[a] + agree[b] >= least[a]) & (gap > -SEED) & (gap <= 2 * SEED + 1)
-                likely[group[a[both]]] = True
+                reach = 2 * SEED + 1
+                both = near & (d[a] < d[b]) & (gap > -SEED) & (gap <= reach)
+                a, b = a[both], b[both]
+                # what agrees before the break and after it
+                enough = total[a, np.minimum(high[:-k][both] + reach, width)] + agree[b] - total[b, np.maximum(low[k:][both] - reach, 0)] >= least[a]
+                likely[group[a[enough]]] = True
             groups = np.append(np.flatnonzero(begins), len(o))
             for g in np.flatnonzero(likely):
                 a, b = groups[g], groups[g + 1]
-                got = held(int(need[a]), [(int(d[i]), same[i, : self.length[s[a]]]) for i in range(a, b)])
+                got = held(int(need[a]), [(int(d[i]), same[i, : self.length[s[a]]].tobytes()) for i in range(a, b)])
                 if got:
                     out.append((int(o[a]), int(s[a]), got))
         return out
