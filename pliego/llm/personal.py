@@ -30,7 +30,7 @@ KINDS = ["", "email", "phone", "id_number", "address", "name"]
 SIGNS = "\0 abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0.,;:()/-@+_[]#'\"&%|$?!*=~"
 OTHER = "~"
 WINDOW, OVERLAP = 220, 60
-BATCH = 512
+BATCH = 256
 MEMO_WINDOWS = 300_000
 
 
@@ -131,11 +131,13 @@ FORMS = {
     "email": re.compile(rf"[A-Za-z0~_][A-Za-z0~_.+-]* ?(?:@|\(arroba\)|\[arroba\]|\(at\)|\[at\]|\barroba\b|\bat\b) ?[A-Za-z0~-]+(?:{_DOT}[A-Za-z0~-]+)*{_DOT}[A-Za-z]+"),
     "phone": re.compile(r"(?<![A-Za-z0/-])(?:\(?(?:\+|00)00\)?[ .-]?)?0(?:[ .-]?0){8,9}(?![A-Za-z0/-])"),
     "id_number": re.compile(r"(?<![A-Za-z0/])(?:00\.?000\.?000[ .-]?[A-Za-z]|[XYZxyz][ .-]?0{7}[ .-]?[A-Za-z]|[A-Z]{2,3} ?0{6,7}|00[ /.-]0{8}[ /.-]00|0{8})(?![A-Za-z0])"),
-    "address": re.compile(rf"(?:[A-Za-z~]+[.]?|C/) (?:(?:de|del|la|las|los|el|do|da|dos|das|DE|DEL|LA|LAS|LOS|EL|{_W}),? ?){{1,6}},?(?: ?(?:n\.?#|num\.|nro\.|no\.|N\.?#|NUM\.|numero))? ?0+(?:,? (?:(?:bajo|BAJO|atico|ATICO|entresuelo|principal)\b|(?:piso|PISO|planta) 0+(?:,? (?:puerta|PUERTA) [0A-Za-z]+)?|0+\.?#(?: ?[A-Z0]\b)?|esc\.[^,]{{1,8}}))*"),
+    "address": re.compile(rf"(?:[A-Za-z~]+[.]?|C/) (?:(?:de|del|la|las|los|el|do|da|dos|das|DE|DEL|LA|LAS|LOS|EL),? ?){{0,3}}(?:{_W},? ?)(?:(?:de|del|la|las|los|el|do|da|dos|das|DE|DEL|LA|LAS|LOS|EL|{_W}),? ?){{0,5}},?(?: ?(?:n\.?#|num\.|nro\.|no\.|N\.?#|NUM\.|numero))? ?0+(?:,? (?:(?:bajo|BAJO|atico|ATICO|entresuelo|principal)\b|(?:piso|PISO|planta) 0+(?:,? (?:puerta|PUERTA) [0A-Za-z]+)?|0+\.?#(?: ?[A-Z0]\b)?|esc\.[^,]{{1,8}}))*"),
     "name": re.compile(rf"(?:[A-Z]\. ?){{0,2}}{_W}(?:[ -]{_W}){{0,4}}(?:, {_W}(?: {_W}){{0,2}})?"),
 }
-TITLES = re.compile(r"^(?:[Dd]on|[Dd]ona|D\.|Dna\.|Da\.|D\.#|Sr\.|Sra\.|[Ll]a letrada|[Ee]l letrado|[Ll]etrad[oa]|Mr\.?|Ms\.?|DON|DONA|Fdo\.:?|y|and|e|El|La|el|la) +")
-TITLE_BEFORE = re.compile(r"(?:[Dd]on|[Dd]ona|DON|DONA|D\.|Dna\.|Da\.|D\.#|Sra?\.|SRA?\.|letrad[oa]|LETRAD[OA]|Mr\.?|Ms\.?) $")
+#: Titles before a name, to the model's signs.
+TITLE = r"[Dd]on|[Dd]ona|DON|DONA|D\.|Dna\.|Da\.|D\.#|Sra?\.|SRA?\.|[Ss]enora?|[Ss]enhora?|[Dd]octora?|Dra?\.|[Ll]etrad[oa]|LETRAD[OA]|Mr\.?|Mrs\.?|Ms\.?|Madame|Monsieur"
+TITLES = re.compile(rf"^(?:{TITLE}|[Ll]a letrada|[Ee]l letrado|Fdo\.:?|y|and|e|et|C'est|El|La|el|la) +")
+TITLE_BEFORE = re.compile(rf"(?:{TITLE}) $")
 COMPANY = re.compile(r"^,? ?(?:S\. ?L\.|S\. ?A\.|S\. ?Coop|S\.L|S\.A|SL\b|SA\b)", re.I)
 
 
@@ -180,6 +182,9 @@ def checked(kind: str, signs: str, a: int, b: int) -> tuple[int, int] | None:
     return (s, e) if best[0] >= 0.5 * min(b - a, e - s) else None
 
 
+#: What a window has if any kind's form can stand in it: a capital (or odd sign) at a word's beginning within it, as every
+#: name and street has beside the window's first word, six digits in a row of groups, or what joins an email address.
+POSSIBLE = re.compile(r"[ \-(,./\"':][A-Z~]|0(?:[ ./-]{0,2}0){5}|@|arroba|\bat\b")
 RUN = re.compile(rb"([\x01-\x7f])\1*")
 
 
@@ -196,10 +201,10 @@ class Finder:
             return cls({k: f[k].astype(np.float32) for k in f.files})
 
     def label(self, wanted: set[str]) -> None:
-        """Labels windows that aren't known yet, in batches of like length."""
+        """Labels windows that aren't known yet, in batches of like length; not those in which no form can stand."""
         if len(self.memo) > MEMO_WINDOWS:
             self.memo.clear()
-        todo = sorted((w for w in wanted if w not in self.memo), key=len)
+        todo = sorted((w for w in wanted if w not in self.memo and POSSIBLE.search(w)), key=len)
         for i in range(0, len(todo), BATCH):
             part = todo[i : i + BATCH]
             sym, lens = tagger.padded([numbers(w) for w in part])
@@ -219,9 +224,10 @@ class Finder:
             spans = self._spans(ws, [self.memo.get(w, b"") for w in texts_of])
             found = []
             for kind, a, b in spans:
-                ends = checked(kind, signs, a, b)
-                if ends and (not found or ends[0] >= found[-1][2]):
-                    found.append((kind, *ends))
+                while a < b and (ends := checked(kind, signs, a, b)):
+                    if not found or ends[0] >= found[-1][2]:
+                        found.append((kind, *ends))
+                    a = ends[1] if kind == "name" else b  # two names in one run of labels
             out.append([(k, where[a] if where else a, (where[b - 1] if where else b - 1) + 1) for k, a, b in found])
         return out
 
