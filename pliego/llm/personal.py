@@ -1,7 +1,7 @@
 """Personal information inside free text: found by kind and replaced by typed placeholders.
 
 A character-level bidirectional LSTM with CRF transitions (tagger.py), trained by train_personal, labels every sign of
-a text. Texts are cut at sentence and paragraph ends into windows; longer stretches into windows that overlap, whose
+a text's windows in which the form of any kind can stand. Texts are cut at sentence and paragraph ends; longer stretches into windows that overlap, whose
 labels are reconciled by taking each sign's label from the window in which it lies farther from an edge, and spans are
 formed over the whole text afterwards. Equal windows are labelled once a task (digits are one sign to the model, so
 most windows of a corpus are equal). An exact check follows: a span must have the form of its kind, and is set to the
@@ -182,29 +182,54 @@ def checked(kind: str, signs: str, a: int, b: int) -> tuple[int, int] | None:
     return (s, e) if best[0] >= 0.5 * min(b - a, e - s) else None
 
 
-#: What a window has if any kind's form can stand in it: a capital (or odd sign) at a word's beginning within it, as every
-#: name and street has beside the window's first word, six digits in a row of groups, or what joins an email address.
-POSSIBLE = re.compile(r"[ \-(,./\"':][A-Z~]|0(?:[ ./-]{0,2}0){5}|@|arroba|\bat\b")
+#: What a window has if any kind's form can stand in it: two capitalised words, or a title or an initial before one, a
+#: capitalised word before a number, nine digits of a phone, an identity number, or what joins an email address.
+_CAP = r"[A-Z~][A-Za-z~'0|]"
+POSSIBLE = re.compile(
+    rf"[A-Z~][A-Za-z~'0|]*(?:(?: |-|, |\.#? ?){_CAP}|(?:,? (?:de|del|la|las|los|el|do|da|dos|das|DE|DEL|LA|LAS|LOS|EL))*,? ?(?:[nN][A-Za-z]*[.#]{{0,2}} ?)?0|[ -]?0{{6}})"
+    r"|0(?:(?<![A-Za-z0/-]0)(?:[ .-]?0){8}|(?<![A-Za-z0/]0)(?:0\.?000\.?000|0[ /.-]0{8}))|[xyz][ .-]?0{7}|@|arroba|\bat\b|(?:dona?|doctora?|senh?ora?|letrad[oa]) [A-Z~]"
+)
+#: Signs on either side of such places that the network sees.
+CONTEXT = 60
 RUN = re.compile(rb"([\x01-\x7f])\1*")
 
 
+def around(window: str) -> tuple[int, int]:
+    """The part of a window in which forms can stand, with CONTEXT on either side; (0, 0) if there is none."""
+    places = [m.span() for m in POSSIBLE.finditer(window)]
+    if not places:
+        return 0, 0
+    low, high = places[0][0] - CONTEXT, places[-1][1] + CONTEXT
+    end = window.find(" ", high) if high < len(window) else -1
+    return 0 if low <= 0 else window.find(" ", low) + 1, len(window) if end < 0 else end
+
+
 class Finder:
     """Finds personal information in texts; remembers the windows it has labelled."""
 
     def __init__(self, params: tagger.Params) -> None:
         self.params = params
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, tuple[int, int]] = {}
 
     @classmethod
     def load(cls) -> Finder:
         with np.load(model_path("personal.npz")) as f:
             return cls({k: f[k].astype(np.float32) for k in f.files})
 
+    def part(self, window: str) -> tuple[int, int]:
+        got = self.parts.get(window)
+        if got is None:
+            if len(self.parts) >= MEMO_WINDOWS:
+                self.parts.clear()
+            got = self.parts[window] = around(window)
+        return got
+
     def label(self, wanted: set[str]) -> None:
-        """Labels windows that aren't known yet, in batches of like length; not those in which no form can stand."""
+        """Labels windows that aren't known yet, in batches of like length."""
         if len(self.memo) > MEMO_WINDOWS:
             self.memo.clear()
-        todo = sorted((w for w in wanted if w not in self.memo and POSSIBLE.search(w)), key=len)
+        todo = sorted((w for w in wanted if w not in self.memo), key=len)
         for i in range(0, len(todo), BATCH):
             part = todo[i : i + BATCH]
             sym, lens = tagger.padded([numbers(w) for w in part])
@@ -217,6 +242,7 @@ class Finder:
         seen = [signs_of(t) if t else ("", None) for t in texts]
         cut = [windows(s) for s, _ in seen]
         seen = [(s.replace("\n", " "), where) for s, where in seen]
+        cut = [[(a + low, a + high) for a, b in ws for low, high in [self.part(s[a:b])] if high] for (s, _), ws in zip(seen, cut)]
         pieces = [[s[a:b] for a, b in ws] for (s, _), ws in zip(seen, cut)]
         self.label({w for ws in pieces for w in ws})
         out = []
@@ -260,12 +286,18 @@ class Finder:
         return labels.tobytes()
 
 
+@functools.cache
+def _finder() -> Finder:
+    """One for all tasks of a worker, so that a window labelled in one task is known in the next."""
+    return Finder.load()
+
+
 def find_personal(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """doc_id, field_name, kind, found_text. fields: name of a field and its column, of strings or arrays of them."""
     names = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder.load()
+        finder = _finder()
         for batch in batches:
             keys = batch.column(0).to_pylist()
             cols: list[list] = [[], [], [], []]
@@ -306,8 +338,3 @@ def redact(df: DataFrame, text: str, out: str = "redacted") -> DataFrame:
         return pd.Series(got if kind == "array<string>" else [v[0] if v else None for v in got], dtype=object)
 
     return df.withColumn(out, replace(F.col(text)))
-
-
-@functools.cache
-def _finder() -> Finder:
-    return Finder.load()

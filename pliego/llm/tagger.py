@@ -87,19 +87,22 @@ def hidden_states(p: Params, sym: np.ndarray, lens: np.ndarray, keep: bool = Fal
 
 
 def label_scores(p: Params, sym: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """(T, B, K) scores; the backward half is put in text order only after it is as narrow as the labels."""
+    """(T, K, B) scores; the backward half is put in text order only after it is as narrow as the labels."""
     hs, _, back, _ = run_states(p, sym, lens)
     hid = p["U"].shape[1]
-    return hs[:, 0] @ p["W"][:hid] + np.take_along_axis(hs[:, 1] @ p["W"][hid:], back.T[:, :, None], 0) + p["b"]
+    forward, backward = hs[:, 0] @ p["W"][:hid] + p["b"], hs[:, 1] @ p["W"][hid:]
+    steps, n, _ = forward.shape
+    forward += backward.reshape(steps * n, -1).take(back.T * n + np.arange(n), 0)
+    return np.ascontiguousarray(forward.transpose(0, 2, 1))
 
 
 def decode(p: Params, sym: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """(B, T) labels of the best paths."""
     e = label_scores(p, sym, lens)
     search = np.flatnonzero(_may_leave_zero(p, e, lens))
-    out = np.zeros((e.shape[1], e.shape[0]), np.int8)
+    out = np.zeros((e.shape[2], e.shape[0]), np.int8)
     if len(search):
-        out[search] = _best_paths(p, e[:, search], lens[search])
+        out[search] = _best_paths(p, e[:, :, search], lens[search])
     return out
 
 
@@ -111,7 +114,7 @@ def _may_leave_zero(p: Params, e: np.ndarray, lens: np.ndarray) -> np.ndarray:
     from the start and to the end are found in one pass.
     """
     t, s = p["A"] - p["A"][0, 0], p["s"] - p["s"][0]
-    gain = e[:, :, 1:].max(2) - e[:, :, 0] + max(0.0, float(t[1:, 1:].max()))
+    gain = e[:, 1:].max(1) - e[:, 0] + max(0.0, float(t[1:, 1:].max()))
     way_in, way_out, start = float(t[0, 1:].max()), float(t[1:, 0].max()), float(s[1:].max())
     n = len(lens)
     run, best = np.full(n, -np.inf, np.float32), np.full(n, -np.inf, np.float32)
@@ -130,26 +133,26 @@ def _may_leave_zero(p: Params, e: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def _best_paths(p: Params, e: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    steps, n, _ = e.shape
-    score = e[0] + p["s"]
+    steps, _, n = e.shape
+    score = e[0] + p["s"][:, None]
     ways = np.empty(e.shape, np.int8)
-    into = np.ascontiguousarray(p["A"].T)
-    final = np.where((lens == 1)[:, None], score, 0)
+    step = p["A"][:, :, None]
+    final = np.where(lens == 1, score, 0)
     for t in range(1, steps):
-        s = score[:, None, :] + into[None]
-        ways[t] = s.argmax(2)
-        score = s.max(2) + e[t]
+        s = score[:, None] + step
+        ways[t] = s.argmax(0)
+        score = s.max(0) + e[t]
         ends = lens == t + 1
         if ends.any():
-            final[ends] = score[ends]
+            final[:, ends] = score[:, ends]
     out = np.zeros((n, steps), np.int8)
-    at = final.argmax(1)
+    at = final.argmax(0)
     rows = np.arange(n)
     for t in range(steps - 1, -1, -1):
         inside = t < lens
         out[inside, t] = at[inside]
         if t:
-            at = np.where(inside, ways[t][rows, at], at)
+            at = np.where(inside, ways[t][at, rows], at)
     return out
 
 
