@@ -190,7 +190,7 @@ POSSIBLE = re.compile(
     r"|0(?:(?<![A-Za-z0/-]0)(?:[ .-]?0){8}|(?<![A-Za-z0/]0)(?:0\.?000\.?000|0[ /.-]0{8}))|[xyz][ .-]?0{7}|@|arroba|\bat\b|(?:dona?|doctora?|senh?ora?|letrad[oa]) [A-Z~]"
 )
 #: Signs on either side of such places that the network sees.
-CONTEXT = 60
+CONTEXT = 40
 RUN = re.compile(rb"([\x01-\x7f])\1*")
 
 
@@ -239,6 +239,10 @@ class Finder:
 
     def find_all(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """For each text its findings: kind, and where they begin and end in the text as written."""
+        unique = list(dict.fromkeys(texts))
+        if len(unique) < len(texts):
+            got = dict(zip(unique, self.find_all(unique)))
+            return [got[t] for t in texts]
         seen = [signs_of(t) if t else ("", None) for t in texts]
         cut = [windows(s) for s, _ in seen]
         seen = [(s.replace("\n", " "), where) for s, where in seen]
@@ -266,7 +270,7 @@ class Finder:
             j = i + 1
             while j < len(ws) and ws[j][0] < ws[j - 1][1]:
                 j += 1
-            start, end, labels = ws[i][0], ws[j - 1][1], found[i:j]
+            start, end, labels = min(a for a, _ in ws[i:j]), max(b for _, b in ws[i:j]), found[i:j]
             if any(labels):
                 whole = labels[0] if j == i + 1 else self._reconciled(start, end, ws[i:j], labels)
                 out += [(KINDS[m.group(1)[0]], start + m.start(), start + m.end()) for m in RUN.finditer(whole)]
