@@ -2,8 +2,8 @@
 
 For the last n characters of a text (n in ORDERS, read backward from the end) the model knows how often texts end
 there and how often they go on. Both counts cover all texts: continuations at every position, ends once for each
-distinct text. Counts live in a hashed table of BUCKETS cells an order, so the model has a fixed size whatever the
-corpus; partial tables are summed by Spark and the finished one is broadcast (under MAX_MODEL_BYTES).
+distinct text. Only contexts that end some text are ever asked for, so Spark counts just these, exactly: a bitmap of
+fixed size spares other positions, hashes of 64 bits name the contexts, partial counts are summed and joined.
 
 The probability of an end after a context is interpolated from short to long orders; a text's own end is left out of
 the count. Its log-odds are held against a threshold found for each language and column by splitting that group's
@@ -21,12 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pliego.llm.common import cut_lineage
+
 ORDERS = (1, 2, 3, 4, 5, 6, 8, 10, 12)
-BUCKETS = 1 << 18
-MAX_MODEL_BYTES = 256 << 20
+#: Characters of a text's end, without trailing blanks, that its tail is taken from.
+REACH = 40
+#: A bit for each cell tells tasks which contexts may end a text.
+CELL_BITS = 24
+SIGNS_AT_ONCE = 400_000
+#: Tables of odds and thresholds up to so many rows are broadcast.
+BROADCAST_ROWS = 200_000
+WIDTH = 0.25
 #: Weight of the shorter orders' probability beside the counts of the longer one.
 PRIOR = 3.0
 FEW = 200
@@ -49,8 +57,8 @@ def tail(text: str | None) -> str | None:
     return folded(OMISSION.sub("", text)[-max(ORDERS) :])
 
 
-def buckets_of(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """For each order the table cell of the context that ends at every position; earlier signs may be padding."""
+def hashes_of(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order a 64-bit hash of the context that ends at every position; earlier signs may be padding."""
     codes = codes.astype(np.uint64) + np.uint64(1)
     h, power, n = np.zeros(len(codes), np.uint64), np.uint64(1), 0
     with np.errstate(over="ignore"):
@@ -60,7 +68,7 @@ def buckets_of(codes: np.ndarray) -> Iterator[np.ndarray]:
                 power *= STEP
                 n += 1
             mixed = h * MULTIPLIER
-            yield ((mixed ^ (mixed >> np.uint64(29))) * STEP >> np.uint64(64 - 18)).astype(np.int64) & (BUCKETS - 1)
+            yield (mixed ^ (mixed >> np.uint64(29))) * STEP
 
 
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,36 +79,22 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, ends
 
 
-def continuations(texts: list[str], table: np.ndarray) -> None:
-    """Adds how often a text goes on after each context."""
+def cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def continuations(texts: list[str], ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order how often a text goes on after the contexts that share a cell with one that ends a text."""
     texts = [t for t in texts if t]
     if not texts:
         return
-    codes, ends = coded(texts)
+    codes, last = coded(texts)
     goes_on = codes != 0
-    goes_on[ends] = False
-    for k, cells in enumerate(buckets_of(codes)):
-        table[k] += np.bincount(cells[goes_on], minlength=BUCKETS)
-
-
-def ends_of(tails: list[str], table: np.ndarray) -> None:
-    tails = [t for t in tails if t]
-    if tails:
-        codes, ends = coded(tails)
-        for k, cells in enumerate(buckets_of(codes)):
-            table[k] += np.bincount(cells[ends], minlength=BUCKETS)
-
-
-def log_odds(tails: list[str], goes_on: np.ndarray, ended: np.ndarray, all_ends: int, all_signs: int) -> np.ndarray:
-    """Of an end after each tail, the tail's own end left out."""
-    p = np.full(len(tails), max(all_ends, 1) / max(all_signs, 2))
-    codes, ends = coded([t or "\1" for t in tails])
-    length = np.array([len(t or "") for t in tails])
-    for k, (order, cells) in enumerate(zip(ORDERS, buckets_of(codes))):
-        e = np.maximum(ended[k][cells[ends]] - 1.0, 0.0)
-        c = goes_on[k][cells[ends]]
-        p = np.where(length >= order, (e + PRIOR * p) / (e + c + PRIOR), p)
-    return np.log(p) - np.log1p(-p)
+    goes_on[last] = False
+    for order, h in zip(ORDERS, hashes_of(codes)):
+        h = h[goes_on & ends[cell(h)]]
+        if len(h):
+            yield order, *np.unique(h, return_counts=True)
 
 
 def split_point(histogram: dict[int, int], width: float) -> float:
@@ -115,82 +109,115 @@ def split_point(histogram: dict[int, int], width: float) -> float:
     return float((cells[best[0]] + cells[best[-1]] + 1) / 2 * width)
 
 
+def _end(text: Column) -> Column:
+    # trailing blanks are taken off before the end is cut out, so that any number of them does no harm
+    trimmed = F.regexp_replace(text, r"\s+$", "")
+    return F.substring(trimmed, -REACH, REACH)
+
+
+def with_tail(df: DataFrame, text: str) -> DataFrame:
+    """df with tail (the end as the model sees it; null for blank texts) and omission (whether a mark of omission stands there)."""
+
+    @F.pandas_udf("struct<tail string, omission boolean>")
+    def look(ends):
+        import pandas as pd
+
+        return pd.DataFrame({"tail": [tail(t) for t in ends], "omission": [bool(t and OMISSION.search(t)) for t in ends]})
+
+    return df.withColumn("_seen", look(_end(F.col(text)))).withColumn("tail", F.col("_seen.tail")).withColumn("omission", F.col("_seen.omission")).drop("_seen")
+
+
 class EndModel:
-    """A trained model: two tables of counts, and how many ends and signs there are in all."""
+    """A trained model: the log-odds of an end after every tail that some text has."""
 
-    def __init__(self, goes_on: np.ndarray, ended: np.ndarray) -> None:
-        self.goes_on, self.ended = goes_on, ended
-        self.all_ends, self.all_signs = int(ended[0].sum()), int(goes_on[0].sum() + ended[0].sum())
+    def __init__(self, odds: DataFrame, tails: int) -> None:
+        self.odds, self.tails = odds, tails
 
     @classmethod
     def train(cls, df: DataFrame, text: str) -> EndModel:
-        if 2 * len(ORDERS) * BUCKETS * 4 > MAX_MODEL_BYTES:
-            raise ValueError("the model's tables are larger than MAX_MODEL_BYTES")
-        schema = "part int, ord int, cell int, n long"
-
-        def rows(part: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(len(ORDERS)):
-                at = np.flatnonzero(table[k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part), pa.int32()), pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(table[k][at], pa.int64())], ["part", "ord", "cell", "n"])
+        texts = df.select(F.col(text).alias("t")).where("t is not null")
+        ends = with_tail(texts.select(F.md5("t").alias("d"), _end(F.col("t")).alias("e")).distinct(), "e").where("tail is not null and tail <> ''")
+        tails = cut_lineage(ends.groupBy("tail").agg(F.count("*").alias("n")))
 
-        def count_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros((len(ORDERS), BUCKETS), np.int64)
+        def contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for i in range(0, len(texts), 500):
-                    continuations([folded(t.rstrip()) for t in texts[i : i + 500]], table)
-            yield from rows(0, table)
+                found = batch.column(0).to_pylist()
+                codes, last = coded(found)
+                n = batch.column(1).to_numpy()
+                length = np.array([len(t) for t in found])
+                for order, h in zip(ORDERS, hashes_of(codes)):
+                    long = length >= order
+                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(long)), pa.array(np.full(long.sum(), order), pa.int32()), pa.array(h[last][long].view(np.int64)), pa.array(n[long])], ["tail", "ord", "h", "n"])
+
+        contexts = tails.mapInArrow(contexts_of, "tail string, ord int, h long, n long")
+        ended = contexts.groupBy("ord", "h").agg(F.sum("n").alias("ended"))
+        # one bit for each cell of hashes, whatever the corpus: it spares positions whose context ends no text
+        marks = np.zeros(1 << CELL_BITS, bool)
+        at = ended.select(F.shiftrightunsigned("h", 64 - CELL_BITS).alias("c")).distinct().toArrow()["c"].to_numpy()  # at most 2 ** CELL_BITS
+        marks[at] = True
+        shared = df.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
-        def count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros((len(ORDERS), BUCKETS), np.int64)
+        def count_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marked = np.unpackbits(shared.value).astype(bool)
+            signs = 0
             for batch in batches:
-                ends_of([tail(t) for t in batch.column(0).to_pylist()], table)
-            yield from rows(1, table)
-
-        texts = df.select(F.col(text).alias("t")).where("t is not null")
-        long_enough = 40
-        ends = texts.select(F.md5("t").alias("d"), F.substring("t", -long_enough, long_enough).alias("e")).distinct().select("e")
-        counted = texts.mapInArrow(count_on, schema).unionByName(ends.mapInArrow(count_ends, schema)).groupBy("part", "ord", "cell").agg(F.sum("n").alias("n"))
-        tables = np.zeros((2, len(ORDERS), BUCKETS), np.float32)
-        got = counted.toArrow()  # at most 2 * len(ORDERS) * BUCKETS rows
-        tables[got["part"].to_numpy(), got["ord"].to_numpy(), got["cell"].to_numpy()] = got["n"].to_numpy()
-        return cls(tables[0], tables[1])
+                part: list[str] = []
+                size = 0
+                for t in [*batch.column(0).to_pylist(), None]:
+                    if t is not None:
+                        part.append(folded(t.rstrip()))
+                        size += len(part[-1])
+                        signs += len(part[-1])
+                    if size >= SIGNS_AT_ONCE or t is None:
+                        for order, h, n in continuations(part, marked):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), order), pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["ord", "h", "n"])
+                        part, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([signs], pa.int64())], ["ord", "h", "n"])
+
+        on = cut_lineage(texts.mapInArrow(count_on, "ord int, h long, n long").groupBy("ord", "h").agg(F.sum("n").alias("goes_on")))
+        all_signs = on.where("ord = 0").agg(F.coalesce(F.sum("goes_on"), F.lit(0))).first()[0]
+        all_ends, n_tails = tails.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        counts = ended.join(on.where("ord > 0"), ["ord", "h"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(0)))
+        by_tail = contexts.select("tail", "ord", "h").join(counts, ["ord", "h"]).groupBy("tail").agg(F.array_sort(F.collect_list(F.struct("ord", "ended", "goes_on"))).alias("c"))
+        # from short to long orders; the tail's own end is left out
+        start = F.lit(max(all_ends, 1) / max(all_signs, 2))
+        p = F.aggregate("c", start, lambda p, c: (c["ended"] - 1 + PRIOR * p) / (c["ended"] - 1 + c["goes_on"] + PRIOR))
+        return cls(cut_lineage(by_tail.withColumn("p", p).select("tail", (F.log("p") - F.log1p(-F.col("p"))).alias("log_odds"))), n_tails)
 
     def score(self, df: DataFrame, text: str) -> DataFrame:
         """df with log_odds (null for blank texts) and omission (whether a mark of omission stands at the end)."""
-        shared = SparkSession.active().sparkContext.broadcast((self.goes_on, self.ended, self.all_ends, self.all_signs))
+        odds = F.broadcast(self.odds) if self.tails <= BROADCAST_ROWS else self.odds
+        return with_tail(df, text).join(odds, "tail", "left").drop("tail")
+
+
+def histogram(scored: DataFrame, language: str, width: float) -> DataFrame:
+    return scored.where("log_odds is not null").groupBy(F.coalesce(F.col(language), F.lit("")).alias("l"), F.floor(F.col("log_odds") / width).cast("int").alias("b")).agg(F.count("*").alias("n"))
+
+
+def whole_threshold(scored: DataFrame, width: float = WIDTH) -> float:
+    """The threshold of all texts, from the histogram of their log-odds (a row for each WIDTH of it)."""
+    return split_point({r.b: r.n for r in histogram(scored.withColumn("_l", F.lit("")), "_l", width).collect()}, width)
 
-        @F.pandas_udf("struct<log_odds double, omission boolean>")
-        def judge(ends):
-            import pandas as pd
 
-            got = [tail(t) for t in ends]
-            odds = log_odds(got, *shared.value)
-            return pd.DataFrame({"log_odds": np.where([t is None for t in got], np.nan, odds), "omission": [bool(t and OMISSION.search(t)) for t in ends]})
+def thresholds(scored: DataFrame, language: str, width: float = WIDTH) -> DataFrame:
+    """l and its threshold (at), of every language with FEW texts or more."""
 
-        # trailing blanks are taken off before the end is cut out, so that any number of them does no harm
-        end = F.substring(F.rtrim(F.regexp_replace(F.col(text), r"\s+$", "")), -40, 40)
-        return df.withColumn("_judged", judge(end)).withColumn("log_odds", F.nanvl("_judged.log_odds", F.lit(None).cast("double"))).withColumn("omission", F.col("_judged.omission")).drop("_judged")
+    def split(group):
+        import pandas as pd
 
+        return pd.DataFrame({"l": [group.l.iloc[0]], "at": [split_point(dict(zip(group.b, group.n)), width)]})
 
-def thresholds(scored: DataFrame, language: str, width: float = 0.25) -> tuple[dict[str, float], float]:
-    """The threshold of each language (few) and of all texts, from histograms of the log-odds."""
-    got = scored.where("log_odds is not null").groupBy(F.coalesce(F.col(language), F.lit("")).alias("l"), F.floor(F.col("log_odds") / width).cast("int").alias("b")).agg(F.count("*").alias("n")).orderBy("l", "b").limit(100_000).collect()
-    by: dict[str, dict[int, int]] = {}
-    every: dict[int, int] = {}
-    for r in got:
-        by.setdefault(r.l, {})[r.b] = r.n
-        every[r.b] = every.get(r.b, 0) + r.n
-    whole = split_point(every, width)
-    return {k: split_point(h, width) for k, h in by.items() if sum(h.values()) >= FEW}, whole
+    counted = histogram(scored, language, width)
+    enough = counted.groupBy("l").agg(F.sum("n").alias("n")).where(F.col("n") >= FEW).select("l")
+    return counted.join(enough, "l").groupBy("l").applyInPandas(split, "l string, at double")  # a group has a row for each WIDTH
 
 
 def find_cuts(df: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, source, cut, log_odds and omission of every row; cut is false for null, empty and blank texts."""
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.lower(F.trim(F.col(language))).alias("language"), F.col(source).alias("source"))
-    scored = EndModel.train(df, text).score(rows, "text").drop("text")
-    by, whole = thresholds(scored, "language")
-    limit = F.lit(whole)
-    for name, at in sorted(by.items()):
-        limit = F.when(F.coalesce("language", F.lit("")) == name, F.lit(at)).otherwise(limit)
-    return scored.select("doc_id", "source", F.coalesce(F.col("log_odds") < limit, F.lit(False)).alias("cut"), "log_odds", "omission")
+    scored = cut_lineage(EndModel.train(df, text).score(rows, "text").drop("text"))
+    at = thresholds(scored, "language")
+    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
+    limit = F.coalesce("at", F.lit(whole_threshold(scored)))
+    judged = scored.withColumn("l", F.coalesce("language", F.lit(""))).join(at, "l", "left")
+    return judged.select("doc_id", "source", F.coalesce(F.col("log_odds") < limit, F.lit(False)).alias("cut"), "log_odds", "omission")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.llm.common import cut_lineage
-from pliego.llm.cuts import EndModel, thresholds
+from pliego.llm.cuts import EndModel, whole_threshold
 
 DEFECTS = ("empty", "copied", "refusal", "truncated", "wrong_language")
 VOTES = 5
@@ -220,7 +220,7 @@ def label_pairs(df: DataFrame, key: str = "response_id", query: str = "query", a
     spark = SparkSession.active()
     rows = df.select(F.col(key).alias("response_id"), F.col(query).alias("query"), F.col(answer).alias("answer"), F.col(confidence).cast("double").alias("confidence"), F.col(warnings).alias("warnings"))
     scored = EndModel.train(df, answer).score(rows, "answer")
-    _, limit = thresholds(scored.withColumn("l", F.lit("")), "l")
+    limit = whole_threshold(scored)
 
     @F.pandas_udf("array<string>")
     def judge(queries, answers, confidences, warned, odds):
