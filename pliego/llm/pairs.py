@@ -4,7 +4,8 @@ For each defect a few labelling functions vote for it (1), against it (-1) or no
 every response is judged where it lies. Spark counts the vote patterns of each defect over all responses (at most
 3 ** VOTES patterns a defect, so the counts are small whatever the corpus), and expectation-maximization on those
 counts estimates how often each function is right and each defect's share. A response keeps every defect whose
-posterior exceeds that defect's cutoff; CUTOFFS were validated on pairs damaged on purpose (see the tests).
+posterior exceeds that defect's cutoff. Cutoffs come from validate_pairs, which damages pairs on purpose and keeps for each
+defect the cutoff with the best F1, with its precision and recall.
 primary names the one that explains the pair: an empty answer before a copied one, a refusal, a truncated answer and
 an answer in another language, as the later ones presuppose that there is an answer.
 
@@ -15,18 +16,19 @@ and warnings don't vote. A response logged twice with the same texts gets the sa
 from __future__ import annotations
 
 import functools
+import json
 import re
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pliego.llm.common import cut_lineage
+from pliego.llm.common import cut_lineage, model_path
 from pliego.llm.cuts import EndModel, whole_threshold
 
 DEFECTS = ("empty", "copied", "refusal", "truncated", "wrong_language")
 VOTES = 5
-CUTOFFS = {"empty": 0.5, "copied": 0.5, "refusal": 0.5, "truncated": 0.5, "wrong_language": 0.5}
 LOW_CONFIDENCE = 0.5
 
 #: Frequent words by language.
@@ -78,6 +80,12 @@ WORD = re.compile(r"[^\W_]+")
 REQUEST = re.compile(r"(?i)respond|contest|repl[iy]|answer|réponds|répondez|responda|rispond|antwort|please|por favor|s'il vous")
 
 
+@functools.cache
+def cutoffs() -> dict[str, float]:
+    with open(model_path("pairs.json"), encoding="utf-8") as f:
+        return {d: v["cutoff"] for d, v in json.load(f).items()}
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -132,49 +140,88 @@ PLAIN_YES = re.compile(r"^(?:sí|sim|oui|yes|no|não|non|ja|nein)[,.]")
 CONTRACT = re.compile(r"\b[a-z]{3}/\d{4}/\d+")
 
 
+DIGITS = str.maketrans("123456789", "000000000")
+MEMO_TEXTS = 200_000
+
+
+class Answer(NamedTuple):
+    """What doesn't hang on an answer's figures or its query; the same for all answers that differ in digits only."""
+
+    by_words: str | None
+    by_groups: str | None
+    refusing: bool
+    states: bool
+    stops: bool
+    weak_end: bool
+    whole: bool
+    unclosed: bool
+    figures: bool
+    placeholder: bool
+
+
+@functools.lru_cache(maxsize=MEMO_TEXTS)
+def look_at(a: str) -> Answer:
+    low = a.lower().strip()
+    ws = words_of(a)
+    refusing = bool(_compiled(REFUSALS).search(low))
+    whole = bool(re.fullmatch(r"(?s)\s*[\[{].*[\]}]\s*", a))
+    return Answer(
+        language_by_words(ws),
+        language_by_groups(a),
+        refusing,
+        bool(FACT.search(low)) or bool(PLAIN_YES.search(low)) and not refusing,
+        bool(STOP.search(low)),
+        bool(WEAK_END.search(low)),
+        whole,
+        low[:1] in "[{" and low[:1] != "" and not whole or a.count("(") > a.count(")") or a.count("«") > a.count("»"),
+        bool(re.search(r"\d", CONTRACT.sub("", low))),
+        bool(_compiled(f"(?:{PLACEHOLDERS})").fullmatch(" ".join(ws))),
+    )
+
+
+@functools.lru_cache(maxsize=MEMO_TEXTS)
+def look_at_query(q: str) -> tuple[str | None, frozenset[str | None]]:
+    """The language of a query, and those an answer may be in."""
+    of = language_by_words(words_of(q)) or language_by_groups(q)
+    return of, frozenset(requested(q) | {of})
+
+
 def ballots(query: str | None, answer: str | None, confidence: float | None, n_warnings: int, cut: bool) -> list[str]:
     """For each defect the votes of its functions, joined by commas; the first one's vote weighs most."""
     a, q = answer or "", query or ""
     low = a.lower().strip()
-    ws, asked = words_of(a), words_of(q)
+    ws, asked = words_of(a), set(words_of(q))
     n = len(ws)
+    by_words, by_groups, refusing, states, stops, weak_end, whole, unclosed, figures, placeholder = look_at(a.translate(DIGITS))
+    of, fit = look_at_query(q.translate(DIGITS))
 
     def vote(yes: bool, no: bool = False) -> int:
         return 1 if yes else -1 if no else 0
 
     doubt = vote(confidence is not None and confidence < LOW_CONFIDENCE, confidence is not None and confidence >= 0.9)
     warned = vote(n_warnings >= 2)
-    figures = bool(re.search(r"\d", CONTRACT.sub("", low)))
-    placeholder = bool(_compiled(f"(?:{PLACEHOLDERS})").fullmatch(" ".join(ws)))
 
     # the question, and what usually stands around one that is given back, taken away
     own = set(ws)
-    rest = own - set(asked) - AROUND_WORDS
+    rest = own - asked - AROUND_WORDS
     said = {w for w in rest if w in SHORT_ANSWERS or w.isdigit()}
-    shared = len(own & set(asked)) / max(len(set(asked)), 1)
-    given_back = n > 0 and (ws == asked or not rest and shared >= 0.6 or len(rest) <= 1 and not said and shared >= 0.8)
-
-    refusing = bool(_compiled(REFUSALS).search(low))
-    facts = figures or bool(FACT.search(low)) or bool(PLAIN_YES.search(low)) and not refusing
-
-    whole = bool(re.fullmatch(r"(?s)\s*[\[{].*[\]}]\s*", a))
-    stops = bool(STOP.search(low))
-    unclosed = low[:1] in "[{" and low[:1] != "" and not whole or a.count("(") > a.count(")") or a.count("«") > a.count("»")
-
-    by_words, by_groups = language_by_words(ws), language_by_groups(a)
-    of = language_by_words(asked) or language_by_groups(q)
-    fit = requested(q) | {of}
+    shared = len(own & asked) / max(len(asked), 1)
+    same = n > 0 and own == asked and ws == words_of(q)
+    given_back = n > 0 and (same or not rest and shared >= 0.6 or len(rest) <= 1 and not said and shared >= 0.8)
+    facts = figures or states
 
-    def foreign(own: str | None) -> int:
-        return 0 if own is None or of is None or n < 4 else -1 if own in fit else 1
+    def foreign(language: str | None) -> int:
+        # a few words are in a language only if words and letters agree on it
+        unsure = language is None or of is None or n < 4 and by_words != by_groups
+        return 0 if unsure else -1 if language in fit else 1
 
     both = foreign(by_words) if by_words == by_groups else -1 if by_words in fit and by_words else 0
     by_defect = [
         [vote(n == 0 or placeholder, n > 0 and not placeholder), vote(placeholder, n > 0 and not placeholder), vote(len(low) <= 2, len(low) > 20), vote(answer is None), doubt],
-        [vote(given_back, len(rest) > 1 or bool(said) or shared < 0.5), vote(n > 0 and ws == asked, len(rest) > 2), vote(n > 0 and not rest and shared >= 0.6, len(rest) > 1), vote(low.endswith("?") and given_back), doubt],
-        [vote(refusing and not figures and not facts, not refusing), vote(n > 3 and not facts and not given_back, facts), vote(refusing, figures and not refusing), vote(n > 3 and not figures and not whole and len(rest) > 2, figures), doubt],
-        [vote(cut and n > 0, not cut), vote(cut and n > 0 and not stops, stops and not unclosed), vote(bool(WEAK_END.search(low)), stops), vote(unclosed, whole), doubt],
-        [foreign(by_words), foreign(by_groups), both, vote(confidence is not None and confidence < LOW_CONFIDENCE, n < 4), warned],
+        [vote(given_back, len(rest) > 1 or bool(said) or shared < 0.5), vote(same, len(rest) > 2), vote(n > 0 and not rest and shared >= 0.6, len(rest) > 1), vote(low.endswith("?") and given_back), doubt],
+        [vote(refusing and not facts, not refusing), vote(n > 3 and not facts and not given_back, facts), vote(refusing, figures and not refusing), vote(n > 3 and not figures and not whole and len(rest) > 2, figures), doubt],
+        [vote(cut and n > 0, not cut), vote(cut and n > 0 and not stops, stops and not unclosed), vote(weak_end, stops), vote(unclosed, whole), doubt],
+        [foreign(by_words), foreign(by_groups), both, vote(confidence is not None and confidence < LOW_CONFIDENCE), warned],
     ]
     return [",".join(map(str, vs)) for vs in by_defect]
 
@@ -239,6 +286,6 @@ def label_pairs(df: DataFrame, key: str = "response_id", query: str = "query", a
     # the model as one small array column on every row: no join is needed
     table = F.broadcast(model.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "defect", "votes"), "posterior"))).alias("model")))
     posteriors = F.transform("ballots", lambda b: F.struct(b["defect"].alias("defect"), F.coalesce(F.element_at("model", F.concat_ws(":", b["defect"], b["votes"])), F.lit(0.0)).alias("posterior")))
-    cutoffs = F.create_map(*[F.lit(x) for kv in CUTOFFS.items() for x in kv])
-    kept = F.transform(F.filter("posteriors", lambda p: p["posterior"] > F.element_at(cutoffs, p["defect"])), lambda p: p["defect"])
+    limits = F.create_map(*[F.lit(x) for kv in cutoffs().items() for x in kv])
+    kept = F.transform(F.filter("posteriors", lambda p: p["posterior"] > F.element_at(limits, p["defect"])), lambda p: p["defect"])
     return cast_votes.crossJoin(table).withColumn("posteriors", posteriors).withColumn("labels", kept).select("response_id", "labels", "posteriors", F.get("labels", F.lit(0)).alias("primary"))
