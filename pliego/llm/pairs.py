@@ -140,7 +140,7 @@ PLAIN_YES = re.compile(r"^(?:sí|sim|oui|yes|no|não|non|ja|nein)[,.]")
 CONTRACT = re.compile(r"\b[a-z]{3}/\d{4}/\d+")
 
 
-DIGITS = str.maketrans("123456789", "000000000")
+DIGIT = re.compile("[1-9]")
 MEMO_TEXTS = 200_000
 
 
@@ -190,10 +190,10 @@ def ballots(query: str | None, answer: str | None, confidence: float | None, n_w
     """For each defect the votes of its functions, joined by commas; the first one's vote weighs most."""
     a, q = answer or "", query or ""
     low = a.lower().strip()
-    ws, asked = words_of(a), set(words_of(q))
-    n = len(ws)
-    by_words, by_groups, refusing, states, stops, weak_end, whole, unclosed, figures, placeholder = look_at(a.translate(DIGITS))
-    of, fit = look_at_query(q.translate(DIGITS))
+    ws, ask = words_of(a), words_of(q)
+    asked, n = set(ask), len(ws)
+    by_words, by_groups, refusing, states, stops, weak_end, whole, unclosed, figures, placeholder = look_at(DIGIT.sub("0", a))
+    of, fit = look_at_query(DIGIT.sub("0", q))
 
     def vote(yes: bool, no: bool = False) -> int:
         return 1 if yes else -1 if no else 0
@@ -206,7 +206,7 @@ def ballots(query: str | None, answer: str | None, confidence: float | None, n_w
     rest = own - asked - AROUND_WORDS
     said = {w for w in rest if w in SHORT_ANSWERS or w.isdigit()}
     shared = len(own & asked) / max(len(asked), 1)
-    same = n > 0 and own == asked and ws == words_of(q)
+    same = n > 0 and ws == ask
     given_back = n > 0 and (same or not rest and shared >= 0.6 or len(rest) <= 1 and not said and shared >= 0.8)
     facts = figures or states
 
