@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 from pliego.functions import text as tx
 
@@ -18,8 +17,6 @@ HEDGES = r"posiblemente|probablemente|quizás?|tal vez|podría|parece|aparenteme
 FIGURES = r"(\d[\d.,]*\s*(?:euros?|€|%|años?|meses|días?|years?|months?|days?)|\d{1,2} de [\p{L}]+ de \d{4})"
 #: Two or more capitalised words in a row.
 ENTITIES = r"([A-ZÁÉÍÓÚÑ][a-záéíóúñü]+(?: [A-ZÁÉÍÓÚÑ][a-záéíóúñü]+)+)"
-#: References to numbered sources.
-CITATIONS = r"(?:\[|[Ff]uente |[Dd]ocumento |[Ss]ource )(\d{1,3})(?:\]|\b)"
 #: Month names in order.
 MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 KEPT_MARKS = "áéíóúñÁÉÍÓÚÑ¡¿"
@@ -50,20 +47,6 @@ def long_date(text: Column) -> Column:
     return F.when(month > 0, F.try_to_date(F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd"))
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of matching blocks of two texts; at least 0.8 if one holds the other, 0 for nulls."""
-
-    def one(x: str | None, y: str | None) -> float:
-        if not x or not y:
-            return 0.0
-        x, y = x.lower(), y.lower()
-        ratio = difflib.SequenceMatcher(None, x, y).ratio()
-        return round(max(ratio, 0.8) if x in y or y in x else ratio, 6)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
 @F.pandas_udf(StringType())
 def plain_unicode(texts: pd.Series) -> pd.Series:
     """Composed form; signs beyond ASCII and Spanish letters lose their marks, or stay if nothing is left."""

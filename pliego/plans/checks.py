@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +25,6 @@ def hedging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).select("response_id", F.regexp_count(F.lower("answer"), F.lit(an.HEDGES)).cast("long").alias("n_hedges"))
 
 
-@query(f"with {ROW}, c as (select response_id, len(excerpts) as n_sources, unnest(regexp_extract_all(answer, {q(an.CITATIONS)}, 1)) as ref from r) select response_id, ref, ref::int between 1 and n_sources as valid from c")
-def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = rows(spark, sf_dir).select("response_id", F.size("excerpts").alias("n_sources"), F.explode(F.regexp_extract_all("answer", F.lit(an.CITATIONS), F.lit(1))).alias("ref"))
-    return c.select("response_id", "ref", F.col("ref").cast("int").between(1, F.col("n_sources")).alias("valid"))
-
-
 @query(f"with {ROW}, t as (select response_id, list_distinct({sql_tokens('query')}) as a, {sql_tokens('answer')} as b from r where query is not null) select response_id, round(len(list_intersect(a, list_distinct(b))) / nullif(len(a), 0), 6) as overlap, coalesce(len(list_intersect(a, list_distinct(b))) / nullif(len(a), 0) < 0.3, false) as off_topic from t")
 def query_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = rows(spark, sf_dir).where("query is not null").select("response_id", an.overlap(tx.tokens(F.col("query")), tx.tokens(F.col("answer"))).alias("overlap"))
@@ -142,13 +134,6 @@ def unicode_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contracts(spark, sf_dir, normalized=an.plain_unicode(F.col("content")))
 
 
-@query()
-def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of each answer and its first source."""
-    r = rows(spark, sf_dir).where("size(excerpts) > 0")
-    return r.select("response_id", an.similarity(F.col("answer"), F.col("excerpts")[0]).alias("ratio"))
-
-
 @query()
 def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read(spark, sf_dir, "responses").select("session_id", "answered_at", "response_id", "query", "answer").distinct()
@@ -165,21 +150,6 @@ def rerank_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("response_id", "chunk_id", "old_rank", "new_rank", change.alias("change"), F.when(change > 0, "raised").when(change < 0, "lowered").otherwise("kept").alias("verdict"))
 
 
-#: Pairs of which one sentence has the first and a later one only the second.
-OPPOSITES = [("no ", "sí"), ("prohibid", "permitid"), ("obligatori", "opcional"), ("siempre", "nunca"), ("aument", "disminu")]
-_OPPOSED = " or ".join(f"(contains(a, {q(x)}) and contains(b, {q(y)}) and not contains(b, {q(x)}))" for x, y in OPPOSITES)
-
-
-@query(f"with {ROW}, s as (select response_id, list_filter(list_transform(regexp_split_to_array(lower(answer), '[.!?]+'), lambda t: trim(t)), lambda t: length(t) > 10) as ss from r), u as (select response_id, unnest(ss) as t, generate_subscripts(ss, 1) as i from s), p as (select x.response_id, x.t as a, y.t as b from u x join u y on x.response_id = y.response_id and x.i < y.i where len(x.t) > 0) select response_id, count(*) filter ({_OPPOSED}) as n_contradictions, count(*) as n_pairs from p group by 1")
-def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of sentences of one answer, as many as the answer has, that say opposite things."""
-    s = rows(spark, sf_dir).select("response_id", tx.sentences(F.lower("answer")).alias("ss"))
-    pairs = F.flatten(F.transform("ss", lambda a, i: F.transform(F.slice("ss", i + 2, F.size("ss")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    p = s.select("response_id", F.explode(pairs).alias("p")).select("response_id", "p.a", "p.b")
-    opposed = reduce(lambda x, y: x | y, [F.contains("a", F.lit(x)) & F.contains("b", F.lit(y)) & ~F.contains("b", F.lit(x)) for x, y in OPPOSITES])
-    return p.groupBy("response_id").agg(F.count_if(opposed).alias("n_contradictions"), F.count("*").alias("n_pairs"))
-
-
 @query(f"with {ROW}, f as (select distinct query, response_id, unnest(regexp_extract_all(lower(answer), {q(an.FIGURES)}, 1)) as fact from r where query is not null), n as (select query, count(distinct response_id) as n_answers from r where query is not null group by 1) select f.query, fact, count(distinct response_id) as n_support, any_value(n_answers) as n_answers, count(distinct response_id) > 1 as corroborated from f join n using (query) group by 1, 2")
 def cross_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures given in answers to one query, and how many of its answers give them."""
