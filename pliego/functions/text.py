@@ -15,7 +15,7 @@ ENGLISH_WORDS = "the be to of and a in that have for it with as you do at this b
 #: Damaged sequences and what they stand for, in the order in which they are replaced.
 REPAIRS = [("Ã¡", "á"), ("Ã©", "é"), ("Ã\xad", "í"), ("Ã³", "ó"), ("Ãº", "ú"), ("Ã±", "ñ"), ("Ã\x81", "Á"), ("Ã‰", "É"), ("Ã\x8d", "Í"), ("Ãš", "Ú"), ("Ã\x91", "Ñ"), ("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("…", "..."), ("Â°", "°"), ("Â´", "´"), ("Â¨", "¨"), ("Ã‚Â", ""), ("Ã‚", ""), ("Â ", " ")]
 #: Marks that are stamped over a document's text.
-WATERMARKS = [r"(?:BORRADOR|COPIA SIMPLE|CONFIDENCIAL|NO VÁLIDO)\s*$", r"\[Página \d+\]"]
+WATERMARKS = r"CONFIDENCIAL\s*-?\s*NO\s+DISTRIBUIR|BORRADOR\s*-?\s*DRAFT|COPIA\s+NO\s+CONTROLADA|Página\s+\d+\s+de\s+\d+|\[WATERMARK\]"
 
 
 def clean_spaces(text: Column) -> Column:
@@ -35,7 +35,7 @@ def plain_quotes(text: Column) -> Column:
 
 
 def without_watermarks(text: Column) -> Column:
-    return reduce(lambda c, p: F.regexp_replace(c, f"(?m){p}", ""), WATERMARKS, text)
+    return F.regexp_replace(text, f"(?iu){WATERMARKS}", "")
 
 
 def clean_ocr(text: Column) -> Column:
@@ -60,4 +60,4 @@ def language(text: Column) -> Column:
     es = F.size(F.filter(words, lambda w: w.isin(SPANISH_WORDS)))
     en = F.size(F.filter(words, lambda w: w.isin(ENGLISH_WORDS)))
     low = F.lower(text)
-    return F.when(es > en * 1.2, "es").when(en > es * 1.2, "en").when(low.rlike(r"artículo|cláusula|contrato|acuerdo|partes"), "es").when(low.rlike(r"article|clause|agreement|contract|parties"), "en").otherwise("es")
+    return F.when(es > en * 1.2, "es").when(en > es * 1.2, "en").when(low.rlike(r"(?:^|[^\p{L}])(?:artículo|cláusula|contrato|acuerdo|partes)(?:[^\p{L}]|$)"), "es").when(low.rlike(r"(?:^|[^\p{L}])(?:article|clause|agreement|contract|parties)(?:[^\p{L}]|$)"), "en").otherwise("es")

@@ -67,13 +67,19 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= 10, "alto").when(score >= 5, "medio").otherwise("bajo")
 
 
-def complexity(text: Column) -> Column:
+def raw_complexity(text: Column) -> Column:
     low = F.lower(text)
     counted = sum(F.regexp_count(low, F.lit(p)) * F.lit(w) for p, w in COMPLEXITY.values())
-    return F.round(F.least(F.lit(10.0), (F.length(text) / 1000 * 0.1 + counted) / 10), 2)
+    return F.least(F.lit(10.0), (F.length(text) / 1000 * 0.1 + counted) / 10)
+
+
+def complexity(text: Column) -> Column:
+    return F.round(raw_complexity(text), 2)
 
 
-def complexity_level(score: Column) -> Column:
+def complexity_level(text: Column) -> Column:
+    """By the score before it is rounded."""
+    score = raw_complexity(text)
     return F.when(score > 7, "alto").when(score > 4, "medio").otherwise("bajo")
 
 
@@ -83,9 +89,10 @@ def special_clauses(text: Column) -> Column:
     return F.filter(F.array(*[F.when(_hits(low, ws) > 0, F.lit(t)) for t, ws in SPECIAL.items()]), lambda x: x.isNotNull())
 
 
-def dates(text: Column) -> Column:
-    """Distinct date strings in text order, at most MAX_DATES."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({DATES})"), F.lit(1))), 1, MAX_DATES)
+def dates(text: Column, most: int | None = MAX_DATES) -> Column:
+    """Distinct date strings in text order, at most so many (None: all)."""
+    every = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({DATES})"), F.lit(1)))
+    return every if most is None else F.slice(every, 1, most)
 
 
 def amounts(text: Column) -> Column:

@@ -87,14 +87,6 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(an.ENTITIES), F.lit(1))).alias("entity")).distinct()
 
 
-ITEMS = r"(?m)^- ([^\n]{10,200})$"
-
-
-@query(f"select distinct doc_id, unnest(regexp_extract_all(content, {q(ITEMS)}, 1)) as obligation from contracts where content is not null")
-def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contracts(spark, sf_dir, obligation=F.explode(F.regexp_extract_all("content", F.lit(ITEMS), F.lit(1)))).distinct()
-
-
 PARTIES = r"(?:Entre|De una parte|REUNIDOS:|Between),? ([^,\n]+),"
 
 
@@ -103,24 +95,6 @@ def parties_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contracts(spark, sf_dir, party=F.explode(F.transform(F.regexp_extract_all("content", F.lit(PARTIES), F.lit(1)), lambda x: F.trim(x)))).distinct()
 
 
-PAYMENTS = r"(dentro de los primeros \d+ días|por adelantado|mediante transferencia|factura conformada|within the first \d+ days)"
-
-
-@query(f"select distinct doc_id, unnest(regexp_extract_all(lower(content), {q(PAYMENTS)}, 1)) as payment_term from contracts where content is not null")
-def payment_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contracts(spark, sf_dir, payment_term=F.explode(F.regexp_extract_all(F.lower("content"), F.lit(PAYMENTS), F.lit(1)))).distinct()
-
-
-CONTEXT = rf"((?:[^\n]{{0,50}})(?:{ca.DATES}))"
-IMPORTANT = "vencimiento|plazo|inicio|comenzando|finalizando|duración|firma"
-
-
-@query(f"select distinct doc_id, c as context, regexp_matches(lower(c), {q(IMPORTANT)}) as important from (select doc_id, unnest(regexp_extract_all(content, {q(CONTEXT)}, 1)) as c from contracts where content is not null)")
-def dates_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _contracts(spark, sf_dir, context=F.explode(F.regexp_extract_all("content", F.lit(CONTEXT), F.lit(1)))).distinct()
-    return c.withColumn("important", F.lower("context").rlike(IMPORTANT))
-
-
 @query("with s as (select distinct chunk_id, doc_id from chunks), h as (select chunk_id, count(*) as n_hits, count(distinct response_id) as n_responses, round(avg(score), 6) as mean_score from hits where chunk_id is not null group by 1) select doc_id, count(*) as n_chunks, coalesce(sum(n_hits), 0)::bigint as n_hits, coalesce(max(n_responses), 0) as most_responses, count(mean_score) as n_used from s left join h using (chunk_id) group by 1")
 def chunk_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often search returned the chunks of each document; hits are counted before they are joined."""

@@ -151,7 +151,7 @@ def centroid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with d as (select doc_id, {sql_tokens('text')} as w from documents where text is not null), s as (select count(*) as n_docs, avg(len(w)) as avg_len from d),
-    t as (select query_id, term, count(*) as times from (select doc_id as query_id, unnest(w[1:12]) as term from d where doc_id % 100 = 0) group by 1, 2),
+    t as (select query_id, term, count(*) as times from (select doc_id as query_id, unnest(w) as term from d where doc_id % 100 = 0) group by 1, 2),
     p as (select doc_id, len, term, count(*) as tf from (select doc_id, len(w) as len, unnest(w) as term from d) where term in (select term from t) group by 1, 2, 3),
     sc as (select query_id, doc_id, round(sum(times * ln((n_docs + 1) / 2) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) as score from p join t using (term), s group by 1, 2),
     {VECTORS}, legs as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc where score > 0 union all select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) from v),
@@ -159,7 +159,7 @@ def centroid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and cosine legs of 50, fused by reciprocal rank, top 20."""
     docs = tokenised(spark, sf_dir)
-    queries = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.slice("tokens", 1, 12).alias("terms"))
+    queries = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("tokens").alias("terms"))
     keyword = se.top_k(se.bm25(docs, queries, "doc_id"), 50, "query_id", "doc_id").select("query_id", "doc_id", "rank")
     vector = se.top_k(vector_rows(spark, sf_dir), 50, "query_id", "vec_id").select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     return se.top_k(se.rrf(keyword.unionByName(vector), "query_id", "doc_id"), 20, "query_id", "doc_id")
@@ -202,11 +202,11 @@ def rerank_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.withColumn("new_rank", F.row_number().over(Window.partitionBy("response_id").orderBy(F.col("combined").desc(), "chunk_id")))
 
 
-@query(f"with {LEXICAL} select response_id, chunk_id, round(length(content) / 1000, 6) as length_score, round(len(list_intersect(terms, list_distinct({sql_words('lower(content)')}))) / nullif(len(terms), 0), 6) as overlap, case when contains(lower(content), lower(trim(query))) then 1 else 0 end as exact from y")
+@query(f"with {LEXICAL} select response_id, chunk_id, round(length(content) / 1000, 6) as length_score, round(len(list_intersect(terms, list_distinct({sql_words('lower(content)')}))) / nullif(len(terms), 0), 6) as overlap, case when contains(lower(content), lower(trim(query))) then 1 else 0 end as exact, round(coalesce(1.0 / (list_min(list_filter(list_transform(terms, lambda t: instr(lower(content), t)), lambda p: p > 0)) + 0), 0)::double, 6) as position_score from y")
 def rerank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != ""))
     x = with_lexical(spark, sf_dir).withColumn("terms", words("query"))
-    return x.select("response_id", "chunk_id", F.round(F.length("content") / 1000, 6).alias("length_score"), F.round(F.try_divide(F.size(F.array_intersect("terms", words("content"))), F.size("terms")), 6).alias("overlap"), F.contains(F.lower("content"), F.lower(F.trim("query"))).cast("int").alias("exact"))
+    return x.select("response_id", "chunk_id", F.round(F.length("content") / 1000, 6).alias("length_score"), F.round(F.try_divide(F.size(F.array_intersect("terms", words("content"))), F.size("terms")), 6).alias("overlap"), F.contains(F.lower("content"), F.lower(F.trim("query"))).cast("int").alias("exact"), F.round(F.coalesce(1.0 / F.array_min(F.filter(F.transform("terms", lambda t: F.instr(F.lower("content"), t)), lambda p: p > 0)), F.lit(0.0)), 6).alias("position_score"))
 
 
 @query(f"""with {LEXICAL}, used as (select distinct response_id, s.chunk_id from (select response_id, unnest(sources) as s from responses) where s.chunk_id is not null), n as (select y.response_id, count(*) as n from y join used using (response_id, chunk_id) group by 1),
@@ -283,13 +283,7 @@ def standardize_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contracts(spark, sf_dir, quoted=tx.plain_quotes(F.col("content")))
 
 
-def _sql_marks(col: str) -> str:
-    for p in tx.WATERMARKS:
-        col = f"regexp_replace({col}, {q('(?m)' + p)}, '', 'g')"
-    return col
-
-
-@query(f"select doc_id, {_sql_marks('content')} as unmarked from contracts where content is not null")
+@query(f"select doc_id, regexp_replace(content, {q('(?i)' + tx.WATERMARKS)}, '', 'g') as unmarked from contracts where content is not null")
 def watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contracts(spark, sf_dir, unmarked=tx.without_watermarks(F.col("content")))
 
@@ -314,7 +308,7 @@ _FIRST = f"list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <
 
 
 @query(f"""with c as (select doc_id, lower(text) as low, len(list_filter({_FIRST}, lambda t: list_contains({sql_list(tx.SPANISH_WORDS)}, t))) as es, len(list_filter({_FIRST}, lambda t: list_contains({sql_list(tx.ENGLISH_WORDS)}, t))) as en from documents where text is not null)
-    select doc_id, case when es > en * 1.2 then 'es' when en > es * 1.2 then 'en' when regexp_matches(low, 'artículo|cláusula|contrato|acuerdo|partes') then 'es' when regexp_matches(low, 'article|clause|agreement|contract|parties') then 'en' else 'es' end as detected from c""")
+    select doc_id, case when es > en * 1.2 then 'es' when en > es * 1.2 then 'en' when regexp_matches(low, '(?:^|[^\p{{L}}])(?:artículo|cláusula|contrato|acuerdo|partes)(?:[^\p{{L}}]|$)') then 'es' when regexp_matches(low, '(?:^|[^\p{{L}}])(?:article|clause|agreement|contract|parties)(?:[^\p{{L}}]|$)') then 'en' else 'es' end as detected from c""")
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", tx.language(F.col("text")).alias("detected"))
 
@@ -358,9 +352,9 @@ def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARTS = " + ".join(f"{w} * {sql_count('lower(content)', p)}" for p, w in ca.COMPLEXITY.values())
 
 
-@query(f"with s as (select doc_id, round(least(10.0, (length(content) / 1000 * 0.1 + {_PARTS}) / 10)::double, 2) as score from contracts where content is not null) select doc_id, score, case when score > 7 then 'alto' when score > 4 then 'medio' else 'bajo' end as level from s")
+@query(f"with s as (select doc_id, least(10.0, (length(content) / 1000 * 0.1 + {_PARTS}) / 10)::double as raw from contracts where content is not null) select doc_id, round(raw, 2) as score, case when raw > 7 then 'alto' when raw > 4 then 'medio' else 'bajo' end as level from s")
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contracts(spark, sf_dir, score=ca.complexity(F.col("content"))).withColumn("level", ca.complexity_level(F.col("score")))
+    return _contracts(spark, sf_dir, score=ca.complexity(F.col("content")), level=ca.complexity_level(F.col("content")))
 
 
 _SPECIAL = ", ".join(f"case when {sql_hits('lower(content)', ws)} > 0 then {q(t)} end" for t, ws in ca.SPECIAL.items())

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from pliego.plans import checks, validation  # noqa: F401, register their queries
+from pliego.plans import analysis, checks, validation  # noqa: F401, register their queries
 from pliego.plans import queries as core
 
 DATA = os.environ.get("ORACLE_DATA", "/root/testdata/sf0.001")
