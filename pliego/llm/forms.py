@@ -17,12 +17,12 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pliego.llm.common import cut_lineage
+
 #: Letters of Greek and Cyrillic (and a few Latin signs) that look like the Latin letter beside them.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J",
@@ -128,33 +128,51 @@ def with_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
 
 
 def form_digests(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key_a, the digest of the stored text (raw) and of its consistent form (form), once for each key and text."""
-    import hashlib
+    """key, the digest of the stored text (raw) and of its consistent form (form), once for each key and text.
+
+    The table is read once: texts without a sign to rewrite pass by Python as nulls. Texts that nothing is left of are
+    left out, as null and empty ones.
+    """
+
+    @F.pandas_udf("string")
+    def digest(texts):
+        import hashlib
+
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
+            form = same_form(t)
+            return hashlib.md5(form.encode("utf-8", "surrogatepass")).hexdigest() if form else ""
+
+        return texts.map(one)
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.length("text") > 0))
-    plain = rows.where(~may_change(F.col("text"))).select("key", F.md5("text").alias("raw")).withColumn("form", F.col("raw"))
+    seen = rows.select("key", F.md5("text").alias("raw"), digest(F.when(may_change(F.col("text")), F.col("text"))).alias("changed"))
+    return seen.where("changed is null or changed <> ''").select("key", "raw", F.coalesce("changed", "raw").alias("form")).distinct()
+
+
+def look_alike_classes(seen: DataFrame) -> DataFrame:
+    """key, form (the class), raw and n_links of all keys whose text has another one of the same form beside it.
+
+    seen: distinct key, raw and form (form_digests). n_links is how many keys of the class have a different text; keys
+    of equal texts aren't linked, so copies cost a row each. Counts are aggregated by text before they meet by form.
+    """
+    by_text = seen.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    by_form = by_text.groupBy("form").agg(F.sum("n").alias("total"), F.count("*").alias("n_texts")).where("n_texts > 1").select("form", "total")
+    links = by_text.join(by_form, "form").select("form", "raw", (F.col("total") - F.col("n")).alias("n_links"))
+    return seen.join(links, ["form", "raw"]).select("key", "form", "raw", "n_links")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            forms = [same_form(t) for t in texts]
-            kept = [digest(f) if f else None for f in forms]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, texts), pa.string()), pa.array(kept, pa.string())], ["key", "raw", "form"])
 
-    rich = rows.where(may_change(F.col("text"))).mapInArrow(run, f"key {dict(rows.dtypes)['key']}, raw string, form string").where("form is not null")
-    return plain.unionByName(rich)
+def pairs_of(classes: DataFrame) -> DataFrame:
+    """key_a < key_b (by code point) of all keys of a class whose texts differ as stored."""
+    pairs = classes.alias("a").join(classes.alias("b"), F.col("a.form") == F.col("b.form")).where("a.raw <> b.raw and a.key < b.key")
+    return pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
 
 
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key_a < key_b (by code point) of all rows whose texts differ as stored but not in their consistent form.
+    """key_a < key_b of all rows whose texts differ as stored but not in their consistent form; texts are read once.
 
-    Only digests are shuffled. A text that changes (raw <> form) joins all texts of its form; two that both change meet
-    once. Keys that only look alike to each other through a plain text are pairs as well, as their forms agree. Groups
-    without a changed text never form pairs, so a boilerplate text that many keys share costs nothing by itself; AQE
-    splits a form that holds a large share of the rows.
+    Only digests are shuffled, and only classes with more than one text are joined: a boilerplate text that many keys
+    share costs nothing by itself. AQE splits a form that holds a large share of the rows.
     """
-    seen = form_digests(df, key, text).distinct()
-    changed = seen.where("raw <> form")
-    pairs = changed.alias("a").join(seen.alias("b"), F.col("a.form") == F.col("b.form")).where("a.raw <> b.raw and a.key <> b.key and (b.raw = b.form or a.key < b.key)")
-    return pairs.select(F.least("a.key", "b.key").alias("key_a"), F.greatest("a.key", "b.key").alias("key_b")).distinct()
+    return pairs_of(cut_lineage(look_alike_classes(cut_lineage(form_digests(df, key, text)))))

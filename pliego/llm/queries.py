@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pliego.llm import cuts, encoding, forms, leaks, pairs, personal, scans, tokens
-from pliego.llm.common import table
+from pliego.llm.common import cut_lineage, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +42,25 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(table(spark, sf_dir, "contracts"), "doc_id", "content").select("doc_id", "restored")
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str]]:
+    return [("document", table(spark, sf_dir, "contracts"), "doc_id"), ("chunk", table(spark, sf_dir, "chunks"), "chunk_id")]
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = forms.look_alike_pairs(table(spark, sf_dir, "contracts"), "doc_id", "content")
-    chunks = forms.look_alike_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "content")
-    return documents.select(F.lit("document").alias("level_name"), "key_a", "key_b").unionByName(chunks.select(F.lit("chunk").alias("level_name"), "key_a", "key_b"))
+    found = [forms.look_alike_pairs(df, key, "content").select(F.lit(level).alias("level_name"), "key_a", "key_b") for level, df, key in _levels(spark, sf_dir)]
+    return found[0].unionByName(found[1])
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without pairs: each key, the class of its form and its number of links."""
+    found = [forms.look_alike_classes(cut_lineage(forms.form_digests(df, key, "content"))).select(F.lit(level).alias("level_name"), "key", F.col("form").alias("class_id"), "n_links") for level, df, key in _levels(spark, sf_dir)]
+    return found[0].unionByName(found[1])
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent text of every contract and chunk that has another one than stored."""
+    changed = [forms.with_form(df.select(F.col(key).alias("key"), "content"), "content").where("form <> content").select(F.lit(level).alias("level_name"), "key", "form").distinct() for level, df, key in _levels(spark, sf_dir)]
+    return changed[0].unionByName(changed[1])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

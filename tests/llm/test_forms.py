@@ -32,6 +32,13 @@ def test_pairs_against_brute_force(spark):
     assert got == want and ("k06", "k07") in got
 
 
+def test_classes_count_links(spark):
+    texts = ["renta", "rеnta", "renta", "ｒenta", "otra", "otra"]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "key string, text string")
+    got = {r.key: r.n_links for r in forms.look_alike_classes(forms.form_digests(df, "key", "text")).collect()}
+    assert got == {"k0": 2, "k1": 3, "k2": 2, "k3": 3}
+
+
 def test_empty_table_and_with_form(spark):
     df = spark.createDataFrame([("a", "ｘ"), ("b", None), ("c", "y" * 100_000)], "key string, text string")
     assert forms.look_alike_pairs(df.limit(0), "key", "text").count() == 0
