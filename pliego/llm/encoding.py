@@ -2,8 +2,8 @@
 
 1. Multibyte damage. Every character is mapped back to the byte it stands for in a legacy encoding; an automaton over
    byte classes finds the maximal spans that are well-formed UTF-8 multibyte sequences, and only those spans are
-   decoded. A span counts if all it decodes to are letters or signs of European text. Text damaged twice is decoded
-   again until nothing changes (at most ROUNDS times).
+   decoded. A span counts if all it decodes to are letters or signs of European text. Text damaged twice or more is decoded
+   again until nothing changes; every decoding shortens the text, so this ends.
 2. Damage between single-byte encodings has no byte structure to find, so the method can't show it. There each word
    with a character such a mix-up yields is mapped back through the pair of encodings, and the result is accepted if
    the corpus itself knows that word: it stands in at least KNOWN texts and RATIO times as many as the damaged form.
@@ -32,7 +32,6 @@ from pliego.llm.common import cut_lineage
 LEGACY = ["cp1252", "cp850", "cp437", "mac_roman", "cp1251", "cp1250", "iso8859-15"]
 #: Pairs of single-byte encodings: what the text was in, what it was read as.
 MIX_UPS = [("cp850", "cp1252"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp1251")]
-ROUNDS = 3
 KNOWN = 5
 RATIO = 5
 LOST = "�"
@@ -106,24 +105,24 @@ def _decode(span: str, encoding: str) -> str:
 def _damaged_again(text: str) -> bool:
     """Whether what came out is itself the damaged form of expected signs (text damaged twice)."""
     for encoding in ("cp1252", "mac_roman", "cp850"):
-        m = automaton(encoding).fullmatch(text)
-        if m:
-            try:
-                again = bytes(byte_of(encoding)[c] for c in text).decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if all(c in EXPECTED for c in again) or _damaged_again(again):
-                return True
+        m = automaton(encoding).match(text)
+        if not m or len(text) - m.end() > 2 or text[m.end() : m.end() + 1] not in leads(encoding) | {""}:
+            continue  # the rest may begin a sequence that goes on behind the span
+        try:
+            again = bytes(byte_of(encoding)[c] for c in m.group()).decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if all(c in EXPECTED for c in again) or _damaged_again(again):
+            return True
     return False
 
 
 def decode_spans(text: str) -> tuple[str, int]:
     """The text with its damaged multibyte spans decoded, and how many there were."""
     total = 0
-    for _ in range(ROUNDS):
+    before = -1
+    while total > before and PAIR.search(text):  # a sequence has at least two signs beyond ASCII
         before = total
-        if not PAIR.search(text):  # a sequence has at least two signs beyond ASCII
-            break
         signs = set(text)
         for encoding in LEGACY:
             if signs.isdisjoint(leads(encoding)):
@@ -138,8 +137,6 @@ def decode_spans(text: str) -> tuple[str, int]:
 
             text = automaton(encoding).sub(put, text)
             total += n
-        if total == before:
-            break
     return text, total
 
 

@@ -18,6 +18,14 @@ def test_damaged_twice():
     assert encoding.decode_spans(damaged)[0] == "duración según"
 
 
+def test_damaged_many_times():
+    for times in (3, 4):
+        damaged = "duración según"
+        for _ in range(times):
+            damaged = damaged.encode().decode("cp1252", "strict") if all(b not in damaged.encode() for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)) else damaged.encode().decode("latin-1")
+        assert encoding.decode_spans(damaged)[0] == "duración según", times
+
+
 def test_correct_text_stays():
     for t in (TEXT, "São Paulo, NÃO CONCORRÊNCIA", "Größe garçon Âme d'Été", "«Ελλάδα Πλοία»", "21 °C ± 2, 3¾, 50 ¢ y 40 m²", "Еѕcorial", "", "Сіudad"):
         assert encoding.decode_spans(t) == (t, 0)
