@@ -37,7 +37,6 @@ MEMO_WORDS = 300_000
 COUNT_WORDS = 400_000
 #: What scanning makes of letters (right, read).
 CONFUSIONS = [("o", "0"), ("O", "0"), ("l", "1"), ("l", "|"), ("i", "1"), ("S", "5"), ("B", "8"), ("ó", "6"), ("a", "@"), ("e", "c"), ("m", "rn"), ("n", "ri"), ("rn", "m"), ("u", "ii"), ("t", "f"), ("g", "q"), ("I", "l"), ("I", "1"), ("cl", "d"), ("ci", "d"), ("d", "cl"), ("é", "è"), ("c", "e"), ("h", "b"), ("b", "h"), ("vi", "w"), ("E", "F"), ("Z", "2"), ("z", "2"), ("s", "5"), ("g", "9"), ("nn", "m"), ("ni", "m"), ("in", "m"), ("á", "a'"), ("f", "t"), ("li", "h")]
-LONG_LINE = 110
 HYPHENS = "-‐¬\xad"
 LETTERS = "a-zA-ZáéíóúüñÁÉÍÓÚÜÑàâãçêôõÀÂÃÇÊÔÕè"
 EDGE = ".,;:()«»\"'[]¿?¡!“”…"
@@ -181,15 +180,15 @@ def furniture(text: str, model: Perceptron) -> tuple[list[str], list[str]]:
     seen: dict[str, list[int]] = defaultdict(list)
     keys = []
     for i, line in enumerate(lines):
-        keys.append(key := normal_line(line) if 4 <= len(line) <= LONG_LINE else "")
+        keys.append(key := normal_line(line) if len(line) >= 4 else "")
         if len(key) >= 4:
             seen[key].append(i)
     kinds = []
     for i, line in enumerate(lines):
         s = line.strip()
         kind = "K"
-        if s and len(s) <= 90 and not PAGE_MARK.fullmatch(s):
-            number = len(s) <= 24 and NUMBER_LINE.fullmatch(s) is not None
+        if s and not PAGE_MARK.fullmatch(s):
+            number = NUMBER_LINE.fullmatch(s) is not None
             if number or len(seen.get(keys[i], ())) >= 2:
                 kind = model.predict(line_features(lines, i, seen))
                 if kind == "N" and not number or kind == "H" and number:
@@ -222,7 +221,7 @@ class Repairer:
             j = i + 1
             while j < len(lines) and (kinds[j] != "K" or not lines[j].strip()):
                 j += 1
-            after = re.match(f"\\s*([{LETTERS}0-9@|]+)", lines[j]) if j < len(lines) and j - i <= 6 else None
+            after = re.match(f"\\s*([{LETTERS}0-9@|]+)", lines[j]) if j < len(lines) else None
             if after and self.joins.predict(join_features(m.group(1), m.group(2), after.group(1), j > i + 1)) == "J":
                 yield i, j, m.group(1), m.group(2), after.group(1)
 
@@ -286,6 +285,12 @@ class Repairer:
         return TOKEN.sub(lambda m: words.get(m.group(), m.group()), out) if words else out
 
 
+@functools.cache
+def _repairer() -> Repairer:
+    """One for all batches and tasks of a worker."""
+    return Repairer.load()
+
+
 def words_in(line: str) -> Iterator[str]:
     """Words of a line that may be misread; addresses, codes and figures are left out."""
     for w in line.split():
@@ -294,10 +299,10 @@ def words_in(line: str) -> Iterator[str]:
             continue
         if w.count("-") and not w.isalpha():
             for part in w.split("-"):
-                if len(part) >= 4 and TOKEN.fullmatch(part) and sum(map(str.isdigit, part)) <= 2:
+                if len(part) >= 4 and TOKEN.fullmatch(part) and 2 * sum(map(str.isdigit, part)) < len(part):
                     yield part
             continue
-        if TOKEN.fullmatch(w) and sum(map(str.isdigit, w)) <= 2 and sum(map(str.isalpha, w)) >= 2:
+        if TOKEN.fullmatch(w) and sum(map(str.isdigit, w)) <= max(2, len(w) // 2) and sum(map(str.isalpha, w)) >= 2:
             yield w
 
 
@@ -313,7 +318,7 @@ def examine(df: DataFrame, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer.load()
+        repairer = _repairer()
         names = {"H": "running_header", "N": "page_number"}
         counts: Counter = Counter()
         distinct: Counter = Counter()
@@ -379,7 +384,7 @@ def repair(df: DataFrame, key: str, text: str) -> DataFrame:
     def mend(texts, edits):
         import pandas as pd
 
-        repairer = Repairer.load()
+        repairer = _repairer()
         out = []
         for t, es in zip(texts, edits):
             out.append(repairer.repair(t, {e["form"]: e["edited"] for e in es if e["kind"] == "misread"}, {e["form"] for e in es if e["kind"] == "hyphenation"}))

@@ -2,7 +2,7 @@
 
     python -m pliego.llm.train_scans CONTRACTS.parquet
 
-A bounded sample of texts (TEXTS) gives the words; everything else at run time covers all texts.
+A bounded sample of texts (TEXTS, drawn by hash from all rows) gives the words; everything else at run time covers all texts.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ import sys
 from collections import Counter, defaultdict
 
 from pliego.llm.common import model_path
-from pliego.llm.scans import CONFUSIONS, EDGE, HYPHENS, LONG_LINE, NUMBER_LINE, Perceptron, join_features, line_features, normal_line, replacements, sign_features
+from pliego.llm.scans import CONFUSIONS, EDGE, HYPHENS, NUMBER_LINE, Perceptron, join_features, line_features, normal_line, replacements, sign_features
 
 TEXTS = 8000
+#: Of these, so many are set in pages for the line model.
+LINE_TEXTS = 4000
 COMMON = 15
 
 
@@ -139,20 +141,24 @@ def line_data(texts: list[str], rng: random.Random) -> list[tuple[list[str], str
         lines, kinds = page(t, rng)
         seen = defaultdict(list)
         for i, x in enumerate(lines):
-            if len(x) <= LONG_LINE and len(key := normal_line(x)) >= 4:
+            if len(key := normal_line(x)) >= 4:
                 seen[key].append(i)
         for i, (x, kind) in enumerate(zip(lines, kinds)):
             s = x.strip()
-            if s and len(s) <= 90 and (NUMBER_LINE.fullmatch(s) or len(seen.get(normal_line(s), ())) >= 2):
+            if s and (NUMBER_LINE.fullmatch(s) or len(seen.get(normal_line(s), ())) >= 2):
                 data.append((line_features(lines, i, seen), kind))
     return data
 
 
 def main(path: str) -> None:
-    import pyarrow.parquet as pq
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     rng = random.Random(20)
-    texts = [t for t in dict.fromkeys(pq.read_table(path, columns=["content"])["content"].to_pylist()) if t][:TEXTS]
+    spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").getOrCreate()
+    rows = spark.read.parquet(path).where("content <> ''").select("content").distinct().orderBy(F.xxhash64("content")).limit(TEXTS).collect()  # TEXTS rows
+    spark.stop()
+    texts = [r.content for r in rows]
     counts: Counter = Counter()
     for t in texts:
         counts.update({w.strip(EDGE) for w in t.split()})
@@ -165,7 +171,7 @@ def main(path: str) -> None:
         return any(n > 1 and len(k) >= 4 for k, n in seen.items())
 
     plain = [t for t in texts if not repeats(t) and not re.search("[�Ã├√]", t) and not re.search(f"[{HYPHENS}]\\s*\n", t) and not any(NUMBER_LINE.fullmatch(x.strip()) for x in t.split("\n") if x.strip())]
-    lines = Perceptron.train(line_data(plain[:4000], rng), 8)
+    lines = Perceptron.train(line_data(plain[:LINE_TEXTS], rng), 8)
     with open(model_path("scans.json"), "w", encoding="utf-8") as f:
         json.dump({"editor": editor.weights, "joins": joins.weights, "lines": lines.weights}, f, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
     print(len(words), {k: len(m.weights) for k, m in (("editor", editor), ("joins", joins), ("lines", lines))})

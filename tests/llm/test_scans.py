@@ -14,6 +14,15 @@ def test_furniture_and_plain_repeats():
     assert r.candidates("- uno\n- dos\n- tres\n\n1. OBJETO\ntexto normal.\n2. PRECIO\notro texto.")[0] == set()
 
 
+def test_wide_headers_and_many_digits():
+    r = scans.Repairer.load()
+    for width in (60, 95, 120):
+        head = "ARCHIVO GENERAL DE CONTRATOS Y ESCRITURAS DE LA SOCIEDAD SALCEDO HERMANOS S.L.  |  COPIA SIMPLE DEL EXPEDIENTE DE LA NOTARÍA"[:width].strip()
+        text = pages(BODY).replace("ARCHIVO SALCEDO S.L.  |  Archivo general", head)
+        assert "H" in r.candidates(text)[0], width
+    assert list(scans.words_in("las 1ns1a1aciones y c0nd1c10nes de 12345678 y B1234567")) == ["las", "1ns1a1aciones", "c0nd1c10nes"]
+
+
 def test_found_and_repaired(spark):
     clean = [(f"c{i}", " ".join(BODY) + " El contrato y su duración se rigen por la cláusula.") for i in range(20)]
     odd = [("h", "El arrendatario deberá conser-\nvar las instalaciones"), ("m", "El c0ntrato y su duraci6n"), ("n", None), ("e", ""), ("x", "conser-var")]
