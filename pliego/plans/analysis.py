@@ -46,7 +46,7 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(f"with {TEXTS}, {_DATES}, d as ({_ALL_DATES}), c as (select *, {_CONTEXT} as context from d) select doc_id, m as found_date, format, place, trim(context) as context, regexp_matches(context, {q(IMPORTANT)}) as important from c")
+@query(f"with {TEXTS}, {_DATES}, d as ({_ALL_DATES}), c as (select *, {_CONTEXT} as context from d) select doc_id, m as found_date, format, place, trim(context, ' ') as context, regexp_matches(context, {q(IMPORTANT)}) as important from c")
 def dates_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates by format and place, the 50 signs on either side and whether these make them important."""
     context = F.lower(F.substring(F.col("content"), F.greatest(F.col("place") - 49, F.lit(1)), F.col("place") - F.greatest(F.col("place") - 50, F.lit(0)) + F.length("m") + 50))
@@ -84,7 +84,7 @@ def financial_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAYMENTS = r"pago\s+(?:mensual|anual|trimestral|semestral)|(?:antes del|hasta el)\s+día\s+\d+|transferencia\s+bancaria|domiciliación\s+bancaria|forma\s+de\s+pago[:\s]+[^.]+|dentro de los primeros \d+ días|por adelantado"
 
 
-@query(f"with {TEXTS} select distinct doc_id, trim(unnest({sql_found('lower(content)', PAYMENTS)})) as payment_term from t")
+@query(f"with {TEXTS} select distinct doc_id, trim(unnest({sql_found('lower(content)', PAYMENTS)}), ' ') as payment_term from t")
 def payment_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", F.explode(found(F.lower("content"), PAYMENTS)).alias("p")).select("doc_id", F.trim("p").alias("payment_term")).distinct()
 
@@ -98,7 +98,7 @@ CLAUSES = {
 _MATCHED = " union all ".join(f"select doc_id, {q(k)} as kind, unnest(list_concat({', '.join(f'regexp_extract_all(lower(content), {q(p)}, 1)' for p in ps)}{', []' if len(ps) == 1 else ''})) as m from t" for k, ps in CLAUSES.items())
 
 
-@query(f"with {TEXTS}, u as ({_MATCHED}) select distinct doc_id, kind, substr(trim(m), 1, 200) as matched from u where length(substr(trim(m), 1, 200)) > 20")
+@query(f"with {TEXTS}, u as ({_MATCHED}) select distinct doc_id, kind, substr(trim(m, ' '), 1, 200) as matched from u where length(substr(trim(m, ' '), 1, 200)) > 20")
 def clause_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rights, penalties and deadlines in the words of the contract, each once."""
     t = texts(spark, sf_dir)
@@ -109,8 +109,8 @@ def clause_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SECTION = r"obligaciones del arrendatario[^:]*:([\s\S]*?)(?:cláusula|firmado|\z)"
 DUTIES = r"[^.]*(?:debe|deberá|obliga|obligado|mantener|pagar|realizar|destinar)[^.]+"
-_BULLETS = f"list_filter(list_transform(list_filter(list_transform(string_split(regexp_extract(lower(content), {q(SECTION)}, 1), chr(10)), lambda l: trim(l)), lambda l: regexp_matches(l, '^[-•]')), lambda l: trim(substr(l, 2))), lambda l: length(l) > 10)"
-_DUTIES = f"list_filter(list_transform({sql_found('lower(content)', DUTIES)}, lambda s: trim(s)), lambda s: length(s) > 20 and length(s) < 200)"
+_BULLETS = f"list_filter(list_transform(list_filter(list_transform(string_split(regexp_extract(lower(content), {q(SECTION)}, 1), chr(10)), lambda l: trim(l, ' ')), lambda l: regexp_matches(l, '^[-•]')), lambda l: trim(substr(l, 2), ' ')), lambda l: length(l) > 10)"
+_DUTIES = f"list_filter(list_transform({sql_found('lower(content)', DUTIES)}, lambda s: trim(s, ' ')), lambda s: length(s) > 20 and length(s) < 200)"
 _OBLIGATIONS = f"ob as (select distinct doc_id, unnest(case when len({_BULLETS}) > 0 then {_BULLETS} else {_DUTIES} end) as obligation from t)"
 
 
@@ -128,7 +128,7 @@ _INDICATOR = {k: "case " + " ".join(f"when contains(lower(content), {q(w)}) then
 _SPECIAL = " union all ".join(f"select doc_id, content, {q(k)} as clause_type, {c} as indicator from t" for k, c in _INDICATOR.items())
 
 
-@query(f"with {TEXTS}, s as ({_SPECIAL}), p as (select *, instr(lower(content), indicator) as place from s where indicator is not null) select doc_id, clause_type, indicator, trim(substr(content, greatest(place - 50, 1), place - greatest(place - 50, 1) + 200)) as context from p")
+@query(f"with {TEXTS}, s as ({_SPECIAL}), p as (select *, instr(lower(content), indicator) as place from s where indicator is not null) select doc_id, clause_type, indicator, trim(substr(content, greatest(place - 50, 1), place - greatest(place - 50, 1) + 200), ' ') as context from p")
 def special_clause_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first indicator of each special clause, with 50 signs before it and 200 from it on."""
     low = F.lower("content")
@@ -210,7 +210,7 @@ for _i, _p in enumerate(ch.HEADINGS.values()):
 _SECTIONS = f"{TEXTS}, {_STEPS}sp as (select doc_id, string_split(regexp_replace(content, chr(1) || '+', chr(1), 'g'), chr(1)) as ps from {_from}), kp as (select doc_id, len(ps) > 1 as headed, case when len(ps) > 1 then ps[2:] else ps end as kept, case when len(ps) > 1 then length(ps[1]) else 0 end as bef from sp), ex as (select *, unnest(range(0, len(kept))) as section_index from kp)"
 
 
-@query(f"with {_SECTIONS} select doc_id, section_index::int as section_index, (bef + coalesce(list_sum(list_transform(kept[1:section_index], lambda x: length(x))), 0))::int as start_char, case when headed then trim(string_split(kept[section_index + 1], chr(10))[1]) end as title, trim(kept[section_index + 1]) as content from ex where trim(kept[section_index + 1]) <> ''")
+@query(f"with {_SECTIONS} select doc_id, section_index::int as section_index, (bef + coalesce(list_sum(list_transform(kept[1:section_index], lambda x: length(x))), 0))::int as start_char, case when headed then trim(string_split(kept[section_index + 1], chr(10))[1], ' ') end as title, trim(kept[section_index + 1], ' ') as content from ex where trim(kept[section_index + 1], ' ') <> ''")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections by their headings, with their place and title."""
     return ch.sections(texts(spark, sf_dir), "doc_id", "content")
