@@ -31,11 +31,16 @@ def token_windows(df: DataFrame, key: str, text: str, size: int = SIZE, overlap:
 
 
 def with_marks(text: Column) -> Column:
-    """The text with MARK before every heading of the kinds that it has more than two of; unchanged if there are none."""
+    """The text with MARK before every heading of the kinds that it has more than two of.
+
+    Kinds are counted in the text itself, so every step holds the one before it once: filters that Spark pushes through
+    the steps stay small.
+    """
+    marked = text
     for pattern in HEADINGS.values():
         p = pattern.replace("(?m)", "(?md)")
-        text = F.when(F.regexp_count(text, F.lit(p)) > 2, F.regexp_replace(text, p, f"{MARK}$0")).otherwise(text)
-    return F.regexp_replace(text, f"{MARK}+", MARK)
+        marked = F.regexp_replace(marked, F.when(F.regexp_count(text, F.lit(p)) > 2, p).otherwise("(?!)"), F.lit(f"{MARK}$0"))
+    return F.regexp_replace(marked, f"{MARK}+", MARK)
 
 
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -202,10 +202,10 @@ def compare_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- chunking ---------------------------------------------------------------------------------------------------------
 
 
-_STEPS = ""
-_from = "t"
+_STEPS = "t0 as (select *, content as stored from t), "
+_from = "t0"
 for _i, _p in enumerate(ch.HEADINGS.values()):
-    _STEPS += f"m{_i} as (select doc_id, case when len(regexp_extract_all(content, {q(_p)})) > 2 then regexp_replace(content, {q('(?m)(' + _p.replace('(?m)', '') + ')')}, chr(1) || '\\1', 'g') else content end as content from {_from}), "
+    _STEPS += f"m{_i} as (select doc_id, stored, case when len(regexp_extract_all(stored, {q(_p)})) > 2 then regexp_replace(content, {q('(?m)(' + _p.replace('(?m)', '') + ')')}, chr(1) || '\\1', 'g') else content end as content from {_from}), "
     _from = f"m{_i}"
 _SECTIONS = f"{TEXTS}, {_STEPS}sp as (select doc_id, string_split(regexp_replace(content, chr(1) || '+', chr(1), 'g'), chr(1)) as ps from {_from}), kp as (select doc_id, len(ps) > 1 as headed, case when len(ps) > 1 then ps[2:] else ps end as kept, case when len(ps) > 1 then length(ps[1]) else 0 end as bef from sp), ex as (select *, unnest(range(0, len(kept))) as section_index from kp)"
 
