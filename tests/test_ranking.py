@@ -38,3 +38,26 @@ def test_hybrid_makes_no_pairs(spark):
     """The postings of texts against whole texts as queries were a join as large as both multiplied."""
     plan = plan_of(core.hybrid_topk(spark, DATA))
     assert "explode(tokens" not in plan and "MapInArrow" in plan
+
+
+def test_substring_top(spark, monkeypatch):
+    monkeypatch.setattr(rk, "QUERIES_PER_BLOCK", 4)
+    rng = random.Random(3)
+    rows = list(enumerate(texts(rng, 60))) + [(60, "Pre-Arrenda-b."), (61, None), (None, "mora")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = {i: [rng.choice(["trat", "mora", "a", "ño", "x", "a-b", "re-a", "nta"]) for _ in range(rng.choice([0, 1, 3, 7]))] for i in range(12)}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")
+    want = set()
+    for q, terms in asked.items():
+        scored = sorted(((-round(sum(x in t.lower() for x in terms) / len(terms), 6), i) for i, t in rows if t is not None and i is not None), key=lambda p: p) if terms else []
+        want |= {(q, i, -s, n) for n, (s, i) in enumerate(scored[:5], 1) if s < 0}
+    got = {tuple(r) for r in rk.substring_top(docs.where("doc_id is not null"), queries, "doc_id", "text", 5).collect()}
+    assert got == want
+    everything = rk.substring_top(docs, queries, "doc_id", "text", 99)
+    assert everything.where("doc_id is null").count() > 0
+
+
+def test_keyword_makes_no_pairs(spark):
+    """The terms found in texts were joined to every query that has them."""
+    plan = plan_of(core.keyword_substring_topk(spark, DATA))
+    assert "Join" not in plan and "MapInArrow" in plan
