@@ -199,9 +199,12 @@ def odd_words(text: str) -> set[str]:
 
 
 def needs_look(column: Column) -> Column:
-    """Whether a text has any character that damage leaves; checked in the JVM."""
+    """Whether a text has any character that damage leaves; checked in the JVM.
+
+    Every alternative ends at a sign beyond ASCII, which texts seldom have, so the pattern begins with that.
+    """
     upper, lower = "".join(c for c in CLEAN if c.isupper()), "".join(c for c in CLEAN if c.islower())
-    return column.rlike(f"[^\\x00-\\x7F{CLEAN}¿«»ºª“”…€]|[^\\x00-\\x7F]{{2}}|[a-z{lower}][{upper}]|[A-Z{upper}]{{2}}[{lower}]")
+    return column.rlike(f"[^\\x00-\\x7F](?:(?<=[^\\x00-\\x7F{CLEAN}¿«»ºª“”…€])|[^\\x00-\\x7F]|(?<=[a-z{lower}][{upper}])|(?<=[A-Z{upper}]{{2}}[{lower}]))")
 
 
 def examine(df: DataFrame, key: str, text: str) -> DataFrame:
