@@ -150,9 +150,18 @@ def join_features(before: str, hyphen: str, after: str, between: bool) -> list[s
 NORMAL = str.maketrans({**{c: None for c in string.punctuation + string.whitespace + string.digits + "·–—«»“”’‘ºª€…¬‐¿¡\xa0\xad"}, "0": "o", "1": "l", "5": "s", "6": "o", "@": "a", "|": "l"})
 
 
+#: The same for bytes of cp1252, which are translated many times faster: all signs, and those that go.
+NORMAL_BYTES = bytes(ord(c.translate(NORMAL) or c) if (c := chr(b)).isascii() else b for b in range(256))
+DROPPED_BYTES = bytes(b for b in range(256) if (c := bytes([b]).decode("cp1252", "ignore")) and not c.translate(NORMAL))
+
+
 def normal_line(line: str) -> str:
     """A line as it is compared from page to page: no case, spacing, digits or signs that scanning mixes up."""
-    return line.lower().translate(NORMAL)
+    low = line.lower()
+    try:
+        return low.encode("cp1252").translate(NORMAL_BYTES, DROPPED_BYTES).decode("cp1252")
+    except UnicodeEncodeError:
+        return low.translate(NORMAL)
 
 
 def line_features(lines: list[str], at: int, seen: dict[str, list[int]]) -> list[str]:
@@ -202,7 +211,7 @@ class Repairer:
 
     def __init__(self, models: dict) -> None:
         self.editor = Editor(Perceptron(models["editor"]))
-        self.tokens: dict[str, bool] = {}
+        self.harmless: set[str] = set()
         self.lines = Perceptron(models["lines"])
         self.joins = Perceptron(models["joins"])
 
@@ -238,25 +247,25 @@ class Repairer:
             if (e := self.editor.edit(whole)) != whole:
                 found.add(("hyphenation", f"{a}-{b}", e))
                 found.add(("misread", whole, e))
-        if any(map(self.suspect, set(text.split()))):
+        if suspects := {t for t in set(text.split()) - self.harmless if self.suspect(t)}:
             for i, (line, kind) in enumerate(zip(lines, kinds)):
                 if kind == "N":
                     continue
-                for w in words_in(line):
-                    if (i, w) not in skip and (e := self.editor.edit(w)) != w:
-                        found.add(("misread", w, e))
+                for t in suspects.intersection(line.split()):
+                    for w in words_in(t):
+                        if (i, w) not in skip and (e := self.editor.edit(w)) != w:
+                            found.add(("misread", w, e))
         return sure, found
 
     def suspect(self, token: str) -> bool:
-        """Whether the editor changes any word of a token between blanks; remembered for tokens of letters."""
-        got = self.tokens.get(token)
-        if got is None:
-            got = any(self.editor.edit(w) != w for w in words_in(token))
-            if token.strip(EDGE).isalpha():
-                if len(self.tokens) >= MEMO_WORDS:
-                    self.tokens.clear()
-                self.tokens[token] = got
-        return got
+        """Whether the editor changes any word of a token between blanks; tokens of letters that it leaves are remembered."""
+        if any(self.editor.edit(w) != w for w in words_in(token)):
+            return True
+        if token.strip(EDGE).isalpha():
+            if len(self.harmless) >= MEMO_WORDS:
+                self.harmless.clear()
+            self.harmless.add(token)
+        return False
 
     def repair(self, text: str, words: dict[str, str], joins: set[str]) -> str:
         """The text without furniture, with checked words put right and lines joined into paragraphs."""
@@ -320,17 +329,17 @@ def examine(df: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = _repairer()
         names = {"H": "running_header", "N": "page_number"}
-        counts: Counter = Counter()
         distinct: Counter = Counter()
+        copied: Counter = Counter()  # what copies add
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows)) if rows else [()] * 6
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), *(pa.array(c, pa.int64()) for c in cols[4:])], ["digest", "kind", "form", "edited", "n", "n_distinct"])
 
         def flush() -> pa.RecordBatch:
-            out = made([(None, "word", w, None, n, distinct[w]) for w, n in counts.items()])
-            counts.clear()
+            out = made([(None, "word", w, None, n + copied.get(w, 0), n) for w, n in distinct.items()])
             distinct.clear()
+            copied.clear()
             return out
 
         for batch in batches:
@@ -338,8 +347,9 @@ def examine(df: DataFrame, text: str) -> DataFrame:
             for d, t, copies in zip(*(c.to_pylist() for c in batch.columns)):
                 words = {w.strip(EDGE) for w in set(t.split())}
                 distinct.update(words)
-                counts.update(dict.fromkeys(words, copies))
-                if len(counts) >= COUNT_WORDS:
+                if copies > 1:
+                    copied.update(dict.fromkeys(words, copies - 1))
+                if len(distinct) >= COUNT_WORDS:
                     yield flush()
                 sure, found = repairer.candidates(t)
                 rows += [(d, names[k], None, None, None, None) for k in sorted(sure)] + [(d, *f, None, None) for f in sorted(found)]
