@@ -186,8 +186,9 @@ def checked(kind: str, signs: str, a: int, b: int) -> tuple[int, int] | None:
 #: capitalised word before a number, nine digits of a phone, an identity number, or what joins an email address.
 _CAP = r"[A-Z~][A-Za-z~'0|]"
 POSSIBLE = re.compile(
-    rf"[A-Z~][A-Za-z~'0|]*(?:(?: |-|, |\.#? ?){_CAP}|(?:,? (?:de|del|la|las|los|el|do|da|dos|das|DE|DEL|LA|LAS|LOS|EL))*,? ?(?:[nN][A-Za-z]*[.#]{{0,2}} ?)?0|[ -]?0{{6}})"
-    r"|0(?:(?<![A-Za-z0/-]0)(?:[ .-]?0){8}|(?<![A-Za-z0/]0)(?:0\.?000\.?000|0[ /.-]0{8}))|[xyz][ .-]?0{7}|@|arroba|\bat\b|(?:dona?|doctora?|senh?ora?|letrad[oa]) [A-Z~]"
+    r"[A-Z~0xyz@adls](?:rroba(?<=arroba)|t\b(?<=\bat)|o(?<=do)(?:na?|ctora?) [A-Z~]|e(?:(?<=se)nh?ora?|(?<=le)trad[oa]) [A-Z~]"  # a set of first signs lets the search skip all others
+    rf"|(?<=[A-Z~])[A-Za-z~'0|]*(?:(?: |-|, |\.#? ?){_CAP}|(?:,? (?:de|del|la|las|los|el|do|da|dos|das|DE|DEL|LA|LAS|LOS|EL))*,? ?(?:[nN][A-Za-z]*[.#]{{0,2}} ?)?0|[ -]?0{{6}})"
+    r"|(?<=0)(?:(?<![A-Za-z0/-]0)(?:[ .-]?0){8}|(?<![A-Za-z0/]0)(?:0\.?000\.?000|0[ /.-]0{8}))|(?<=[xyz])[ .-]?0{7}|(?<=@))"
 )
 #: Signs on either side of such places that the network sees.
 CONTEXT = 40
@@ -196,10 +197,13 @@ RUN = re.compile(rb"([\x01-\x7f])\1*")
 
 def around(window: str) -> tuple[int, int]:
     """The part of a window in which forms can stand, with CONTEXT on either side; (0, 0) if there is none."""
-    places = [m.span() for m in POSSIBLE.finditer(window)]
-    if not places:
+    low = high = None
+    for m in POSSIBLE.finditer(window):
+        low, high = m.start() - CONTEXT if low is None else low, m.end() + CONTEXT
+        if high >= len(window):
+            break  # later places change nothing
+    if low is None:
         return 0, 0
-    low, high = places[0][0] - CONTEXT, places[-1][1] + CONTEXT
     end = window.find(" ", high) if high < len(window) else -1
     return 0 if low <= 0 else window.find(" ", low) + 1, len(window) if end < 0 else end
 
